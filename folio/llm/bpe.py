@@ -1,9 +1,10 @@
 """BPE encoding and decoding through a table of distinct words.
 
 Spark splits every text into the words that the tokenizer's own pre-tokenizer would see. Each task turns its documents into
-chunks: a list of the chunk's distinct words and, per document, the positions' indices into that list. The distinct words of
-all chunks are encoded once each, their pieces come from a join with the id-to-piece table, and both are joined back to the
-chunks. Only distinct words and packed indices are shuffled, never one row per word.
+chunks: a list of the chunk's distinct words and, per document, the positions' indices into that list. The words of all chunks
+meet in buckets by hash, where every distinct word is encoded once; the ids go back to the chunks, which join them to their
+positions, and decode through the id-to-piece table, whose size is the vocabulary's. Only packed distinct words, ids and
+indices are shuffled, never one row per word.
 
 Defined results: null text is the empty text; the empty text has no ids and decodes to the empty string; repeated rows each
 give a row; extra columns are ignored; a special token's string in a text gives that token's id, as in the library.
@@ -77,18 +78,44 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(pa.table({"id": pa.array(list(vocab.values()), pa.int32()), "piece": pa.array(list(vocab), pa.string())}))
 
 
-def _chunks(path: str, most_words: int, most_bytes: int):
+def _squeeze(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=6).compress(data, asbytes=True)
+
+
+def _open(data: bytes) -> bytes:
+    n = int.from_bytes(data[:8], "little")
+    return pa.Codec("zstd").decompress(data[8:], decompressed_size=n, asbytes=True) if n else b""
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers below 2^32 as four planes of bytes, of which the upper ones are mostly zero."""
+    return _squeeze(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def _numbers(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(_open(data), np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+
+
+def _chunks(path: str, buckets: int, most_words: int, most_bytes: int):
     def run(batches):
+        import xxhash
+
         part, k, seen, rows, size = TaskContext.get().partitionId(), 0, {}, [], 0
+        names = ["chunk", "doc_id", "packed", "bucket", "words"]
 
         def out():
-            name = f"{part}-{k}"
+            name, n = f"{part}-{k}", len(rows)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
             words = list(seen)
-            n = len(rows)
-            yield pa.RecordBatch.from_arrays([
-                pa.array([name] * (n + 1)), pa.array([r[0] for r in rows] + [None], pa.int64()),
-                pa.array([r[1] for r in rows] + [None], pa.binary()), pa.array([None] * n + [words], pa.list_(pa.string())),
-            ], ["chunk", "doc_id", "packed", "words"])
+            home = np.fromiter((xxhash.xxh32_intdigest(w) % buckets for w in words), np.int64, len(words))
+            order = np.argsort(home, kind="stable")
+            cut = np.searchsorted(home[order], np.arange(buckets + 1))
+            there = [j for j in range(buckets) if cut[j] < cut[j + 1]]
+            for lo in range(0, len(there), 1000):
+                some = there[lo : lo + 1000]
+                each = [order[cut[j] : cut[j + 1]] for j in some]
+                m = len(some)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * m), pa.nulls(m, pa.int64()), pa.array([_planes(e) for e in each], pa.binary()), pa.array(some, pa.int32()), pa.array([_squeeze("\n".join(words[i] for i in e).encode("utf-8", "surrogatepass")) for e in each], pa.binary())], names)
 
         for b in batches:
             split = splitter(path)
@@ -107,8 +134,7 @@ def _chunks(path: str, most_words: int, most_bytes: int):
             here = np.fromiter((seen.setdefault(w, len(seen)) for w in vocab), np.uint32, len(vocab))
             codes = here[codes] if len(vocab) else np.zeros(0, np.uint32)
             for i, d in enumerate(b.column("doc_id").to_pylist()):
-                packed = pa.compress(codes[off[i] : off[i + 1]].tobytes(), codec="zstd", asbytes=True)
-                packed = int(off[i + 1] - off[i]).to_bytes(8, "little") + packed
+                packed = _planes(codes[off[i] : off[i + 1]])
                 rows.append((d, packed))
                 size += len(packed)
             if size > most_bytes:
@@ -121,60 +147,86 @@ def _chunks(path: str, most_words: int, most_bytes: int):
 
 
 def _encode(path: str):
+    """A bucket's words: every distinct one is encoded once, and each chunk gets the ids of its words, by position."""
+
     def run(batches):
-        s = splitter(path)
+        s, table_ = splitter(path), {}
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.ids(w) for w in b.column(0).to_pylist()], pa.list_(pa.int32()))], ["word", "ids"])
+            out = []
+            for blob in b.column("words").to_pylist():
+                lengths, flat = [], []
+                for w in _open(blob).decode("utf-8", "surrogatepass").split("\n"):
+                    ids = table_.get(w)
+                    if ids is None:
+                        ids = table_[w] = s.ids(w)
+                    lengths.append(len(ids))
+                    flat += ids
+                out.append((_planes(np.array(lengths, np.uint32)), _planes(np.array(flat, np.uint32))))
+            yield pa.RecordBatch.from_arrays([b.column("chunk"), b.column("packed"), pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], ["chunk", "places", "lengths", "ids"])
 
     return run
 
 
-def _assemble(key, docs: pa.Table, words: pa.Table) -> pa.Table:
-    n = words.num_rows
-    at = words.column("idx").to_numpy() if n else np.zeros(0, np.int64)
-    ids, text, count = [""] * n, [""] * n, np.zeros(n, np.int64)
-    for i, a, b, c in zip(at.tolist(), words.column("ids").to_pylist(), words.column("pieces").to_pylist(), words.column("n").to_pylist()):
-        ids[i], text[i], count[i] = a, b, c
-    out = [[], [], [], []]
-    for d, packed in zip(docs.column("doc_id").to_pylist(), docs.column("packed").to_pylist()):
-        m = int.from_bytes(packed[:8], "little")
-        codes = np.frombuffer(pa.decompress(packed[8:], decompressed_size=4 * m, codec="zstd"), np.uint32) if m else np.zeros(0, np.uint32)
-        each = codes.tolist()
-        out[0].append(d)
-        out[1].append(int(count[codes].sum()))
-        out[2].append(hashlib.sha256(" ".join(map(ids.__getitem__, each)).encode()).hexdigest())
-        out[3].append(hashlib.sha256(" ".join(map(text.__getitem__, each)).encode()).hexdigest())
-    return pa.table({"doc_id": pa.array(out[0], pa.int64()), "n_tokens": pa.array(out[1], pa.int64()), "ids_sha256": pa.array(out[2], pa.string()), "decoded_sha256": pa.array(out[3], pa.string())})
-
-
-def word_rows(docs: DataFrame, path: str, most_words: int = 400_000, most_bytes: int = 32_000_000) -> DataFrame:
-    """Chunk rows (written once): per document its packed word indices, per chunk its distinct words."""
-    small_batches(docs.sparkSession)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    odd = text.rlike(ODD) | text.rlike(special_pattern(path))
-    split = F.regexp_extract_all(F.lower(text), F.lit(SPLIT), F.lit(0))
-    given = docs.select(F.col("doc_id").cast("long"), F.when(odd, text).alias("odd"), F.when(odd, F.array().cast("array<string>")).otherwise(split).alias("words"))
-    return staged(given.mapInArrow(_chunks(path, most_words, most_bytes), "chunk string, doc_id long, packed binary, words array<string>"), "bpe")
+def _assemble(pieces):
+    def run(key, docs, words):
+        name = pieces.value
+        places, lengths, flat = [], [], []
+        for a, b, c in zip(*(words.column(x).to_pylist() for x in ("places", "lengths", "ids"))):
+            places.append(_numbers(a))
+            lengths.append(_numbers(b))
+            flat.append(_numbers(c))
+        n = sum(map(len, places))
+        ids, text, count = [""] * n, [""] * n, np.zeros(n, np.int64)
+        if n:
+            at, size, each = np.concatenate(places), np.concatenate(lengths).astype(np.int64), np.concatenate(flat)
+            count[at] = size
+            digits = [str(x) for x in range(len(name))]
+            each = each.tolist()
+            lo = 0
+            for i, m in zip(at.tolist(), size.tolist()):
+                x = each[lo : lo + m]
+                lo += m
+                ids[i] = " ".join([digits[v] for v in x])
+                text[i] = " ".join([name[v] for v in x])
+        out = [[], [], [], []]
+        for d, packed in zip(docs.column("doc_id").to_pylist(), docs.column("packed").to_pylist()):
+            codes = _numbers(packed)
+            each = codes.tolist()
+            out[0].append(d)
+            out[1].append(int(count[codes].sum()))
+            out[2].append(hashlib.sha256(" ".join([ids[i] for i in each]).encode()).hexdigest())
+            out[3].append(hashlib.sha256(" ".join([text[i] for i in each]).encode("utf-8", "surrogatepass")).hexdigest())
+        return pa.table({"doc_id": pa.array(out[0], pa.int64()), "n_tokens": pa.array(out[1], pa.int64()), "ids_sha256": pa.array(out[2], pa.string()), "decoded_sha256": pa.array(out[3], pa.string())})
+
+    return run
 
 
-def encoded_words(words: DataFrame, path: str) -> DataFrame:
-    """(word, ids, pieces) of a table of distinct words: encoded by rank merges, decoded through the id-to-piece join."""
-    spark = words.sparkSession
-    ids = words.mapInArrow(_encode(path), "word string, ids array<int>")
-    each = ids.select("word", F.posexplode("ids").alias("pos", "id"))
-    back = each.join(F.broadcast(pieces(spark, path)), "id")
-    return back.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("pos", "id", "piece"))).alias("p")).select(
-        "word", F.size("p").cast("long").alias("n"), F.array_join(F.transform("p", lambda x: x["id"].cast("string")), " ").alias("ids"), F.array_join(F.transform("p", lambda x: x["piece"]), " ").alias("pieces"))
+def pieces(path: str) -> list[str]:
+    """The id-to-piece table: as many rows as the vocabulary has, whatever the corpus."""
+    from tokenizers import Tokenizer
 
+    vocab = Tokenizer.from_file(path).get_vocab(with_added_tokens=True)
+    out = [""] * (max(vocab.values(), default=-1) + 1)
+    for piece, k in vocab.items():
+        out[k] = piece
+    return out
 
-def encode_decode(docs: DataFrame, path: str) -> DataFrame:
+
+def encode_decode(docs: DataFrame, path: str, most_words: int = 1_000_000, most_bytes: int = 32_000_000) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of docs(doc_id, text)."""
-    rows = word_rows(docs, path)
-    words = rows.where("words is not null").select("chunk", F.posexplode("words").alias("idx", "word"))
-    table_ = encoded_words(words.select("word").distinct(), path)
-    back = words.join(table_, "word").select("chunk", "idx", "ids", "pieces", "n")
-    kept = rows.where("words is null").select(F.col("chunk").alias("part"), "doc_id", "packed")
-    return kept.groupBy("part").cogroup(back.groupBy("chunk")).applyInArrow(_assemble, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    spark = docs.sparkSession
+    small_batches(spark)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    odd = text.rlike(ODD) | text.rlike(special_pattern(path))
+    split = F.regexp_extract_all(F.lower(text), F.lit(SPLIT), F.lit(0))
+    given = docs.select(F.col("doc_id").cast("long"), F.when(odd, text).alias("odd"), F.when(odd, F.array().cast("array<string>")).otherwise(split).alias("words"))
+    buckets = min(4096, max(32, docs.count() // 4000))
+    rows = staged(given.mapInArrow(_chunks(path, buckets, most_words, most_bytes), "chunk string, doc_id long, packed binary, bucket int, words binary"), "bpe")
+    words = rows.where("bucket is not null").select("chunk", "packed", "bucket", "words").repartition(buckets, "bucket")
+    back = words.mapInArrow(_encode(path), "chunk string, places binary, lengths binary, ids binary")
+    kept = rows.where("bucket is null").select(F.col("chunk").alias("part"), "doc_id", "packed")
+    table_ = spark.sparkContext.broadcast(pieces(path))
+    return kept.groupBy("part").cogroup(back.groupBy("chunk")).applyInArrow(_assemble(table_), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
