@@ -101,11 +101,20 @@ def _chunks(path: str, buckets: int, most_words: int, most_bytes: int):
         import xxhash
 
         part, k, seen, rows, size = TaskContext.get().partitionId(), 0, {}, [], 0
-        names = ["chunk", "doc_id", "packed", "bucket", "words"]
+        names, open_, held = ["chunk", "doc_ids", "packed", "bucket", "words"], [], 0
+
+        def close():
+            """The open documents as one row: ids, numbers of words, and indices, which pack better together."""
+            if open_:
+                rows.append(([d for d, _ in open_], _planes(np.array([len(c) for _, c in open_], np.uint32)), _planes(np.concatenate([c for _, c in open_]))))
+                open_.clear()
+                return len(rows[-1][2])
+            return 0
 
         def out():
+            close()
             name, n = f"{part}-{k}", len(rows)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.binary()), pa.nulls(n, pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names)
             words = list(seen)
             home = np.fromiter((xxhash.xxh32_intdigest(w) % buckets for w in words), np.int64, len(words))
             order = np.argsort(home, kind="stable")
@@ -115,7 +124,7 @@ def _chunks(path: str, buckets: int, most_words: int, most_bytes: int):
                 some = there[lo : lo + 1000]
                 each = [order[cut[j] : cut[j + 1]] for j in some]
                 m = len(some)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * m), pa.nulls(m, pa.int64()), pa.array([_planes(e) for e in each], pa.binary()), pa.array(some, pa.int32()), pa.array([_squeeze("\n".join(words[i] for i in e).encode("utf-8", "surrogatepass")) for e in each], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * m), pa.nulls(m, pa.list_(pa.int64())), pa.array([_planes(e) for e in each], pa.binary()), pa.array(some, pa.int32()), pa.array([_squeeze("\n".join(words[i] for i in e).encode("utf-8", "surrogatepass")) for e in each], pa.binary())], names)
 
         for b in batches:
             split = splitter(path)
@@ -130,17 +139,18 @@ def _chunks(path: str, buckets: int, most_words: int, most_bytes: int):
             codes, vocab = enc.indices.to_numpy(), enc.dictionary.to_pylist()
             if len(seen) + len(vocab) > most_words and seen:
                 yield from out()
-                k, seen, rows, size = k + 1, {}, [], 0
+                k, seen, rows, size, held = k + 1, {}, [], 0, 0
             here = np.fromiter((seen.setdefault(w, len(seen)) for w in vocab), np.uint32, len(vocab))
             codes = here[codes] if len(vocab) else np.zeros(0, np.uint32)
             for i, d in enumerate(b.column("doc_id").to_pylist()):
-                packed = _planes(codes[off[i] : off[i + 1]])
-                rows.append((d, packed))
-                size += len(packed)
+                open_.append((d, codes[off[i] : off[i + 1]]))
+                held += int(off[i + 1] - off[i])
+                if held > 150_000:
+                    size, held = size + close(), 0
             if size > most_bytes:
                 yield from out()
-                k, seen, rows, size = k + 1, {}, [], 0
-        if rows:
+                k, seen, rows, size, held = k + 1, {}, [], 0, 0
+        if rows or open_:
             yield from out()
 
     return run
@@ -189,13 +199,16 @@ def _assemble(pieces):
                 ids[i] = " ".join([digits[v] for v in x])
                 text[i] = " ".join([name[v] for v in x])
         out = [[], [], [], []]
-        for d, packed in zip(docs.column("doc_id").to_pylist(), docs.column("packed").to_pylist()):
-            codes = _numbers(packed)
-            each = codes.tolist()
-            out[0].append(d)
-            out[1].append(int(count[codes].sum()))
-            out[2].append(hashlib.sha256(" ".join([ids[i] for i in each]).encode()).hexdigest())
-            out[3].append(hashlib.sha256(" ".join([text[i] for i in each]).encode("utf-8", "surrogatepass")).hexdigest())
+        for names, lengths, packed in zip(*(docs.column(x).to_pylist() for x in ("doc_ids", "words", "packed"))):
+            all_, lo = _numbers(packed), 0
+            for d, m in zip(names, _numbers(lengths).tolist()):
+                codes = all_[lo : lo + m]
+                lo += m
+                each = codes.tolist()
+                out[0].append(d)
+                out[1].append(int(count[codes].sum()))
+                out[2].append(hashlib.sha256(" ".join([ids[i] for i in each]).encode()).hexdigest())
+                out[3].append(hashlib.sha256(" ".join([text[i] for i in each]).encode("utf-8", "surrogatepass")).hexdigest())
         return pa.table({"doc_id": pa.array(out[0], pa.int64()), "n_tokens": pa.array(out[1], pa.int64()), "ids_sha256": pa.array(out[2], pa.string()), "decoded_sha256": pa.array(out[3], pa.string())})
 
     return run
@@ -221,10 +234,10 @@ def encode_decode(docs: DataFrame, path: str, most_words: int = 1_000_000, most_
     split = F.regexp_extract_all(F.lower(text), F.lit(SPLIT), F.lit(0))
     given = docs.select(F.col("doc_id").cast("long"), F.when(odd, text).alias("odd"), F.when(odd, F.array().cast("array<string>")).otherwise(split).alias("words"))
     buckets = min(4096, max(32, docs.count() // 4000))
-    rows = staged(given.mapInArrow(_chunks(path, buckets, most_words, most_bytes), "chunk string, doc_id long, packed binary, bucket int, words binary"), "bpe")
+    rows = staged(given.mapInArrow(_chunks(path, buckets, most_words, most_bytes), "chunk string, doc_ids array<long>, packed binary, bucket int, words binary"), "bpe")
     words = rows.where("bucket is not null").select("chunk", "packed", "bucket", "words").repartition(buckets, "bucket")
     back = words.mapInArrow(_encode(path), "chunk string, places binary, lengths binary, ids binary")
-    kept = rows.where("bucket is null").select(F.col("chunk").alias("part"), "doc_id", "packed")
+    kept = rows.where("bucket is null").select(F.col("chunk").alias("part"), "doc_ids", "words", "packed")
     table_ = spark.sparkContext.broadcast(pieces(path))
     return kept.groupBy("part").cogroup(back.groupBy("chunk")).applyInArrow(_assemble(table_), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
