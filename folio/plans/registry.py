@@ -2,6 +2,85 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.patterns import ENTITIES, MASKS, NUMBER_TOKEN
+from ..operators import dedup, entities, masking, packing
+from ..sources.tables import table
+
 FLAGSHIP = "mask_contacts"
+TARGET, BLOCK = 65536, 4096
+COUNTS = [f"n_{m[0].lower()}" for m in MASKS]
+
+
+def _masked(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    return masking.mask(table(spark, sf_dir, "documents"), mode)
+
+
+def mask_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _masked(spark, sf_dir, "full").select("doc_id", *COUNTS, F.sha2("masked", 256).alias("digest"))
+
+
+def mask_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _masked(spark, sf_dir, "partial").select("doc_id", *COUNTS, F.sha2("masked", 256).alias("digest"))
+
+
+def mask_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _masked(spark, sf_dir, "full").groupBy("source").agg(*[F.sum(c).alias(c) for c in COUNTS])
+
+
+def luhn_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masking.luhn_numbers(table(spark, sf_dir, "documents"))
+
+
+def exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.exact_copies(table(spark, sf_dir, "documents"))
+
+
+def pack_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_in_order(table(spark, sf_dir, "documents"), TARGET, BLOCK)
+
+
+def entity_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entities.entities(table(spark, sf_dir, "documents"))
+
+
+def number_survival(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entities.survival(_masked(spark, sf_dir, "full").select("doc_id", F.col("text").alias("before"), F.col("masked").alias("after")))
+
+
+QUERIES = {f.__name__: f for f in (mask_contacts, mask_partial, mask_totals, luhn_numbers, exact_copies, pack_in_order, entity_index, number_survival)}
+
+
+def _chain(mode: str, keep: str = "") -> str:
+    """The same chain as nested selects: each step counts on, and replaces in, the text of the step before."""
+    sql = f"SELECT doc_id, source, coalesce(text, '') AS text, coalesce(text, '') AS m FROM documents{keep}"
+    for label, whole, partial in MASKS:
+        swap = f"regexp_replace(m, '{whole}', '[{label}]', 'g')" if mode == "full" else f"regexp_replace(m, '{partial}', '****\\1', 'g')"
+        sql = f"SELECT * EXCLUDE (m), len(regexp_extract_all(m, '{whole}')) AS n_{label.lower()}, {swap} AS m FROM ({sql})"
+    return sql
+
+
+ORACLES = {
+    "mask_contacts": f"SELECT doc_id, {', '.join(COUNTS)}, sha256(m) AS digest FROM ({_chain('full')})",
+    "mask_partial": f"SELECT doc_id, {', '.join(COUNTS)}, sha256(m) AS digest FROM ({_chain('partial')})",
+    "mask_totals": f"SELECT source, {', '.join(f'sum({c})::BIGINT AS {c}' for c in COUNTS)} FROM ({_chain('full')}) GROUP BY source",
+    "luhn_numbers": f"""
+SELECT doc_id, seq, digits, list_sum(list_transform(range(1, length(digits) + 1), lambda i: CASE WHEN i % 2 = 1 THEN substr(reverse(digits), i, 1)::INT
+  ELSE (2 * substr(reverse(digits), i, 1)::INT) // 10 + (2 * substr(reverse(digits), i, 1)::INT) % 10 END)) % 10 = 0 AS valid
+FROM (SELECT doc_id, unnest(x) AS digits, generate_subscripts(x, 1) - 1 AS seq FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{MASKS[3][1]}') AS x FROM documents))""",
+    "exact_copies": """
+SELECT doc_id, digest, min(doc_id) OVER w AS first_doc_id, count(*) OVER w AS n_copies, doc_id > min(doc_id) OVER w AS is_copy
+FROM (SELECT doc_id, sha256(coalesce(text, '')) AS digest FROM documents) WINDOW w AS (PARTITION BY digest)""",
+    "pack_in_order": f"""
+WITH RECURSIVE d AS (SELECT doc_id, doc_id // {BLOCK} AS block, octet_length(encode(coalesce(text, ''))) AS bytes, row_number() OVER (PARTITION BY doc_id // {BLOCK} ORDER BY doc_id) AS k FROM documents),
+p AS (SELECT doc_id, block, k, bytes, 0::BIGINT AS part, bytes AS total FROM d WHERE k = 1
+  UNION ALL SELECT d.doc_id, d.block, d.k, d.bytes, CASE WHEN total > 0 AND total + d.bytes > {TARGET} THEN part + 1 ELSE part END, CASE WHEN total > 0 AND total + d.bytes > {TARGET} THEN d.bytes ELSE total + d.bytes END
+  FROM p JOIN d ON d.block = p.block AND d.k = p.k + 1)
+SELECT doc_id, block, part, bytes FROM p""",
+    "entity_index": "SELECT doc_id, kind, seq, value FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(x) AS value, generate_subscripts(x, 1) - 1 AS seq FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{p}') AS x FROM documents)" for k, p in ENTITIES) + ")",
+    "number_survival": f"""
+SELECT doc_id, len(b) AS total, len(list_intersect(b, a)) AS preserved, len(b) - len(list_intersect(b, a)) AS missing
+FROM (SELECT doc_id, list_distinct(regexp_extract_all(text, '{NUMBER_TOKEN}')) AS b, list_distinct(regexp_extract_all(m, '{NUMBER_TOKEN}')) AS a FROM ({_chain('full')}))""",
+}
