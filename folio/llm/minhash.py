@@ -6,10 +6,10 @@ place on the weight axis that must lie below the weight. A slot's value is its e
 equal to their weighted Jaccard similarity. Processes are followed only while they can still lower a slot.
 
 Texts of equal words are one class (a hash aggregate). Class representatives with an equal band are candidates: first every
-bucket's member with the fullest buckets is compared with the others (a star, linear in the bucket), then, for buckets that are
-still in several components, the estimates of all pairs of different components are taken in tiles of bounded size and
-the best ones, a forest, are verified, and last every such pair whose estimate is not far below the threshold. Verification
-joins the whole multisets: |intersection| / |union| counting repeats. Only links between components are looked for beyond the star.
+bucket's member with the fullest buckets is compared with the others (a star, linear in the bucket); then buckets that are still
+in several components are dealt into tiles of bounded size, where pairs of different components whose estimate is not far
+below the threshold are verified, best first, until their ends are connected. Verification takes the whole multisets:
+|intersection| / |union| counting repeats. So every link counts for the classes, and no table of all pairs is made.
 
 Defined results: null text has no class mates and is kept; texts of fewer than five words are one shingle of all words; texts
 without words are copies of each other; a null doc_id is a document of its own; repeated rows are copies; ties go to the
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, flat, hashed, mix, shingles, small_batches, staged, table, union_all, words_of
+from .common import components, flat, hashed, mix, shingles, small_batches, staged, table, words_of
 
 WIDTH, SIMILARITY, BANDS, ROWS, TILE = 5, 0.8, 26, 5, 512
 #: Estimates below the threshold by more than this (3.5 standard deviations at 130 slots) are not followed.
@@ -127,48 +127,57 @@ def _bags(width: int):
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
             first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0)) if len(h) else np.zeros(0, np.int64)
-            h = mix(h ^ mix((np.arange(len(h)) - first).astype(np.uint64)))
+            h = mix(h ^ mix((np.arange(len(h)) - first).astype(np.uint64))).view(np.int64)
+            h = h[np.lexsort((h, row))]
             cut = np.searchsorted(row, np.arange(b.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(h.view(np.int64)))], ["id", "bag"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(h))], ["id", "bag"])
 
     return run
 
 
-def _pairs(floor: float, forest: bool):
-    """Of a tile of one bucket: pairs of different components with an estimate of floor or more, all or a forest of the best."""
+def _links(floor: float, similarity: float):
+    """Of a tile of one bucket: links that connect different components, each verified over the whole multisets.
+
+    Pairs go in order of falling estimate; one whose ends are already connected needs no test.
+    """
 
     def run(key, t):
         within = key[-1].as_py()
         mine = np.array(t.column("left").to_pylist(), bool)
         ids, comp, size = (t.column(c).to_numpy() for c in ("id", "comp", "size"))
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u2").reshape(len(ids), -1)
+        bags, cut = flat(t.column("bag"))
+        parent: dict[int, int] = {}
+
+        def root(x):
+            while parent.get(x, x) != x:
+                parent[x] = x = parent.get(parent[x], parent[x])
+            return x
+
         a = np.flatnonzero(mine)
         c = a if within else np.flatnonzero(~mine)
-        out = []
+        found = [np.zeros((0, 3), np.int64)]
         for i in a.tolist():
             j = c[c > i] if within else c
-            j = j[(comp[j] != comp[i]) & (np.minimum(size[j], size[i]) >= SIMILARITY * np.maximum(size[j], size[i]))]
+            j = j[(comp[j] != comp[i]) & (np.minimum(size[j], size[i]) >= similarity * np.maximum(size[j], size[i]))]
             if len(j):
                 e = (sig[j] == sig[i]).mean(1)
                 ok = e >= floor
-                out.append(np.stack([np.full(ok.sum(), i), j[ok], (e[ok] * 1e6).astype(np.int64)], 1))
-        out = np.concatenate(out) if out else np.zeros((0, 3), np.int64)
-        if forest and len(out):
-            parent = {}
-
-            def root(x):
-                while parent.get(x, x) != x:
-                    parent[x] = x = parent.get(parent[x], parent[x])
-                return x
-
-            keep = []
-            for k in np.argsort(-out[:, 2], kind="stable").tolist():
-                u, v = root(int(comp[out[k, 0]])), root(int(comp[out[k, 1]]))
-                if u != v:
-                    parent[u] = v
-                    keep.append(k)
-            out = out[keep]
-        return pa.table({"a": pa.array(ids[out[:, 0]], pa.int64()), "b": pa.array(ids[out[:, 1]], pa.int64())})
+                found.append(np.stack([np.full(ok.sum(), i), j[ok], (e[ok] * 1e6).astype(np.int64)], 1))
+        found = np.concatenate(found)
+        out = []
+        for k in np.argsort(-found[:, 2], kind="stable").tolist():
+            i, j = int(found[k, 0]), int(found[k, 1])
+            u, v = root(int(comp[i])), root(int(comp[j]))
+            if u == v:
+                continue
+            x, y = sorted((bags[cut[i] : cut[i + 1]], bags[cut[j] : cut[j + 1]]), key=len)
+            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+            both = int((y[at] == x).sum())
+            if both >= similarity * (len(x) + len(y) - both):
+                parent[u] = v
+                out.append((ids[i], ids[j]))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
 
     return run
 
@@ -192,28 +201,24 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIM
     hubs = ranked.groupBy("bucket").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("hub"))
     star = shared.join(hubs, "bucket").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     ids = score.select("id")
-    bags = staged(worded(real.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")).mapInArrow(_bags(width), "id long, bag array<long>").dropDuplicates(["id"]), "bags")
+    bags = staged(worded(real.join(ids.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id", "left_semi")).mapInArrow(_bags(width), "id long, bag array<long>").dropDuplicates(["id"]), "bags")
 
     def verified(pairs: DataFrame) -> DataFrame:
         x = pairs.join(bags.select(F.col("id").alias("a"), F.col("bag").alias("x")), "a").join(bags.select(F.col("id").alias("b"), F.col("bag").alias("y")), "b")
         both = F.size(F.array_intersect("x", "y"))
         return x.where(F.least(F.size("x"), F.size("y")) >= similarity * F.greatest(F.size("x"), F.size("y"))).where(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b")
 
-    tried = [staged(star, "tried")]
-    links = [staged(verified(tried[0]), "links")]
-    comp = staged(components(links[0]), "comp")
-    sig = first.select("id", "size", "sig")
-    for step in ("forest", "all"):
-        labelled = shared.select("bucket", "id").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        open_ = labelled.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("bucket", F.ceil(F.col("n") / tile).cast("int").alias("parts"))
-        rest = labelled.join(open_, "bucket").join(sig, "id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts").cast("long")).cast("int"))
-        rest = rest.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q"))
-        rest = rest.select("bucket", F.least("part", "q").alias("pa"), F.greatest("part", "q").alias("pb"), (F.col("part") <= F.col("q")).alias("left"), (F.col("part") == F.col("q")).alias("within"), "id", "comp", "size", "sig")
-        more = rest.groupBy("bucket", "pa", "pb", "within").applyInArrow(_pairs(similarity - MARGIN, step == "forest"), "a long, b long")
-        more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(union_all(tried), ["a", "b"], "left_anti")
-        tried.append(staged(more, "tried"))
-        links.append(staged(verified(tried[-1]), "links"))
-        comp = staged(components(union_all(links)), "comp")
+    links = staged(verified(star), "links")
+    comp = staged(components(links), "comp")
+    labelled = shared.select("bucket", "id").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    open_ = labelled.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"), F.min("id").alias("i"), F.max("id").alias("j"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).where("lo < hi")
+    # buckets of the same members, which bands of similar texts give, are one
+    open_ = open_.groupBy("n", "i", "j", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / tile).cast("int").alias("parts"))
+    rest = labelled.join(open_, "bucket").join(first.select("id", "size", "sig").join(bags, "id"), "id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts").cast("long")).cast("int"))
+    rest = rest.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q"))
+    rest = rest.select("bucket", F.least("part", "q").alias("pa"), F.greatest("part", "q").alias("pb"), (F.col("part") <= F.col("q")).alias("left"), (F.col("part") == F.col("q")).alias("within"), "id", "comp", "size", "sig", "bag")
+    more = staged(rest.groupBy("bucket", "pa", "pb", "within").applyInArrow(_links(similarity - MARGIN, similarity), "a long, b long"), "links")
+    comp = staged(components(links.unionByName(more)), "comp")
     of = reps.join(comp, "id", "left").select("k1", "k2", F.col("id").alias("copies_of"), F.coalesce("comp", "id").alias("class_id"))
     known = sketch.join(of, ["k1", "k2"]).select("doc_id", "class_id", "copies_of")
     lone = docs.where("text is null or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copies_of"))

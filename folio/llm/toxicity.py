@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from .common import mix, small_batches, table, words_of
 
-BITS, MOST_ROWS, SHARDS, EPOCHS = 20, 10_000, 1, 4
+BITS, MOST_ROWS, SHARDS, EPOCHS = 20, 8_000, 1, 4
 #: Lengths of the word beginnings that count as stems, one more kind of unigram.
 STEMS = (4, 5, 6, 7)
 PAIR, SKIP = np.uint64(0x51), np.uint64(0xA7)
@@ -43,7 +43,7 @@ def word_slots(vocab: list[str]) -> np.ndarray:
 
 def features(words: pa.ListArray, bits: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Slots of the rows' features and the row of each, distinct; with `wanted` (slot to bool) only those slots."""
-    off = words.offsets.to_numpy().astype(np.int64)
+    off = words.offsets.to_numpy().astype(np.int64)  # of a slice: from its own first row
     enc = words.values.slice(off[0], off[-1] - off[0]).dictionary_encode()
     off = off - off[0]
     codes = enc.indices.to_numpy()
@@ -101,9 +101,12 @@ def ftrl(rows: list[tuple[np.ndarray, int]], bits: int, epochs: int, alpha=0.2,
 def _train(bits: int, epochs: int):
     def run(key, t):
         t = t.sort_by("k")
-        slot, row = features(t.column("h").combine_chunks(), bits)
-        cut = np.searchsorted(row, np.arange(t.num_rows + 1))
-        rows = [(np.append(slot[cut[i] : cut[i + 1]], 1 << bits), y) for i, y in enumerate(t.column("toxic").to_pylist())]
+        words, rows = t.column("h").combine_chunks(), []
+        for lo in range(0, t.num_rows, 400):  # a few texts at a time: their word pairs take more memory than their features
+            slot, row = features(words.slice(lo, 400), bits)
+            cut = np.searchsorted(row, np.arange(min(400, t.num_rows - lo) + 1))
+            rows += [np.append(slot[cut[i] : cut[i + 1]], 1 << bits).astype(np.int32) for i in range(len(cut) - 1)]
+        rows = list(zip(rows, t.column("toxic").to_pylist()))
         at, w = ftrl(rows, bits, epochs)
         return pa.table({"slot": pa.array(at, pa.int64()), "w": pa.array(w, pa.float64())})
 
