@@ -13,4 +13,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def text_files(spark: SparkSession, folder: str) -> DataFrame:
     """path, length, sha256, text of a folder's .txt and .md files; bytes that aren't UTF-8 are read as Latin-1."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.{txt,md}").load(folder)
-    return raw.select("path", "length", F.sha2("content", 256).alias("sha256"), F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(F.decode("content", F.lit("ISO-8859-1"))).alias("text"))
+    return raw.select("path", "length", F.sha2("content", 256).alias("sha256"), F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(F.decode("content", "ISO-8859-1")).alias("text"))
