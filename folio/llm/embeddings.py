@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import components, flat, small_batches, staged, table
 
-BLOCKS, GRID_DIMS, PART = 4, 3, 1500
+BLOCKS, GRID_DIMS, PART = 4, 2, 8000
 
 
 def rotated(x: np.ndarray, seed: int = 11) -> np.ndarray:
@@ -113,12 +113,15 @@ def _tile(kind: str, cosine: float, blocks: int):
             return i
 
         part = y[:, j * step : (j + 1) * step].astype(np.float32)
-        square = (part * part).sum(1)
+        square = (part * part).sum(1, keepdims=True)
+        one = np.ones_like(square)
+        # one product of extended rows gives the squared distances
+        right = np.ascontiguousarray(np.hstack([-2 * part, one, square])[c].T)
+        part = np.hstack([part, square, one])
         for lo in range(0, len(a), 512):
             p = a[lo : lo + 512]
-            near = square[p, None] + square[None, c] - 2 * (part[p] @ part[c].T) <= budget + 1e-5
-            u, v = np.nonzero(near)
-            u, v = p[u], c[v]
+            at = np.flatnonzero(part[p] @ right <= np.float32(budget + 1e-5))
+            u, v = p[at // len(c)], c[at % len(c)]
             if within:
                 u, v = u[u < v], v[u < v]
             for s in range(0, len(u), 100_000):
