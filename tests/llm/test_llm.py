@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from folio.llm import bpe, chat, embeddings, html, licenses, minhash, packing, quality, sharding, toxicity
-from folio.llm.common import components
+from folio.llm.common import components, staged
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 SCHEMA = "doc_id long, text string, lang string, source string, score string, row string, kept string"
@@ -220,3 +220,28 @@ def test_pipeline(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and out.count() > 50
+
+
+def test_pipeline_stages_take_effect(spark):
+    """Each stage keeps whole rows of its predecessor; the packed pieces cover exactly the last documents, without overlap."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    sf_dir = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    columns, before = docs.columns, {r.doc_id: r for r in docs.collect()}
+    for name, stage in pipeline.STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), f"test-{name}")
+        rows = docs.collect()
+        after = {r.doc_id: r for r in rows}
+        assert docs.columns == columns and len(after) == len(rows), name
+        assert after and all(before[k] == r for k, r in after.items()), name
+        before = after
+    pieces = pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
+    ids, room = {}, {}
+    for r in sorted(pieces, key=lambda r: (r.doc_id, r.start)):
+        assert ids.get(r.doc_id, 0) == r.start
+        ids[r.doc_id] = r.start + r.length
+    assert set(ids) == set(before) and all(ids[r.doc_id] == r.doc_tokens for r in pieces)
+    for r in sorted(pieces, key=lambda r: (r.sequence_id, r.offset)):
+        assert room.get(r.sequence_id, 0) == r.offset
+        room[r.sequence_id] = r.offset + r.length
+    assert max(room.values()) <= 2048
