@@ -33,7 +33,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 STAGES = [("quality", quality_stage), ("toxicity", toxicity_stage), ("near_dedup", dedup_stage), ("packing", packing_stage)]
-#: A trained model and a tokenizer library can't be expressed in SQL; tests/llm holds the stages against brute force.
+#: A trained model and a tokenizer library can't be expressed in SQL; tests/llm tests the operators one by one, and of the whole that stages keep whole rows and packing covers them.
 ORACLE_SQL = None
 
 
