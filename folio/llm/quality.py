@@ -116,12 +116,12 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the rules keep, with docs' own columns."""
     names = [f"_{i}" for i in range(len(docs.columns))]
     same = docs.toDF(*names)  # measured() columns may clash with extra columns of docs
-    plain = docs.select("doc_id", "lang", "text")
-    cut = thresholds(staged(measured(plain).drop("text"), "quality"), labels).collect()
     at = {c: names[i] for i, c in enumerate(docs.columns)}
     wide = same.withColumns({c: F.col(at[c]) for c in ("doc_id", "lang", "text")})
-    # a filter on a random number isn't pushed below the measures, which would work them out again for every use
-    return judged(measured(wide), cut).withColumn("_r", F.rand(0)).where("kept and _r >= 0").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
+    # the rows are written with their measures, which both the thresholds and the verdicts read: every text is measured once
+    rows = staged(measured(wide).drop("text"), "quality")
+    cut = thresholds(rows, labels).collect()
+    return judged(rows, cut).where("kept").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
