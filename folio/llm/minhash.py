@@ -185,7 +185,7 @@ def _links(floor: float, similarity: float):
 def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, tile: int = TILE) -> DataFrame:
     """doc_id, class_id, copies_of (the smallest doc_id of equal words), kept of every row of docs(doc_id, text)."""
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 250)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     real = docs.where("text is not null and doc_id is not null")
     worded = lambda d: d.select("doc_id", hashed(words_of(F.col("text"))).alias("w"))

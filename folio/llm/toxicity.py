@@ -147,7 +147,7 @@ def _score(model, bits: int):
 
 def scored(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], bits: int = BITS) -> DataFrame:
     """docs (any columns, among them text) with score; a column score of docs itself is replaced."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 250)
     model = docs.sparkSession.sparkContext.broadcast(weights)
     docs = docs.drop("score")
     given = docs.select("*", words_of(F.col("text")).alias("score"))  # the words, in the place that the score takes
