@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from folio.llm import bpe, chat, embeddings, html, licenses, minhash, packing, quality, sharding, toxicity
 from folio.llm.common import components, staged
@@ -245,3 +246,19 @@ def test_pipeline_stages_take_effect(spark):
         assert room.get(r.sequence_id, 0) == r.offset
         room[r.sequence_id] = r.offset + r.length
     assert max(room.values()) <= 2048
+
+
+def test_quality_stage_keeps_what_the_verdicts_keep(spark):
+    """accepted() against assess() on all documents, with nulls, repeated rows and columns that clash with the measures."""
+    sf_dir = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", F.lit("x").alias("n_words"), F.lit(1).alias("kept"), F.lit("r").alias("rate"))
+    docs = docs.unionByName(docs.where("doc_id < 20")).unionByName(docs.where("doc_id = 3").withColumn("text", F.lit(None).cast("string")))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    verdicts = sorted(r.doc_id for r in quality.assess(docs, labels).where("kept").collect())
+    out = quality.accepted(docs, labels)
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert sorted(r.doc_id for r in rows) == verdicts
+    assert 0 < len(rows) < docs.count()
+    assert not {tuple(r) for r in rows} - {tuple(r) for r in docs.collect()}
+    assert quality.accepted(docs.limit(0), labels).count() == 0
