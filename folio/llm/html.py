@@ -2,15 +2,17 @@
 
 Each page becomes a tree of its block elements, runs of like siblings merged, and a list of text blocks with their node. Pages
 of a host are counted per distinct tree, with whether each node's text is the same on all of them; that is a map-side
-aggregate, so a host with a third of all pages is no hot group. Per host the trees are aligned with the commonest one by simple
-tree matching (the largest order-keeping match, by dynamic programming), the counts of matched nodes are added up, and nodes
-with the same text on all pages are template, the others slots. A page's content is what stands in its article or main
-element; without one, its slots; in both cases without menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles and comments. Constant nodes inside an article stay: copies of an article on one host are content.
+aggregate, so a host with a third of all pages is no hot group. Per host the trees are aligned with the commonest
+one by simple tree matching (the largest order-keeping match, by dynamic programming); nodes without a partner are known by
+their parent's and their own key. A node is template if its text is the same on all pages that have it, and those pages differ
+elsewhere; the others are slots. A page's content is its slots. An article or main element is evidence only: inside one, template
+also takes three pages and half of the host's, so that copies of an article stay. Where no text of a page is seen to vary (hosts
+of one page or of copies), the page's article or main element is its content, or else all its text.
+
+Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are never content.
 
 Defined results: null html is the empty page with empty text; a page cut off in a tag loses that tag only; a null url is a
-host of its own; hosts with one page, or pages without article and without slots, give all text outside boilerplate; repeated
-rows each give a row; extra columns are ignored.
+host of its own; repeated rows each give a row; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,10 +42,16 @@ ATTR = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s
 SPACE = re.compile(r"\s+")
 
 
-def parse(page: str) -> tuple[list[tuple[int, str, bool]], list[tuple[int, str]]]:
-    """(nodes as (parent, key, boilerplate), blocks as (node, text)); like siblings in a row share a node."""
-    nodes = [(-1, "", False)]
+MOST_NODES = 2000
+#: What is known of a node by itself.
+FREE, BOILERPLATE = range(2)
+
+
+def parse(page: str) -> tuple[list[tuple[int, str, int]], list[tuple[int, str]]]:
+    """(nodes as (parent, key, kind), blocks as (node, text)); like siblings in a row share a node."""
+    nodes = [(-1, "", FREE)]
     blocks: list[tuple[int, str]] = []
+    inside = [False]  # whether a node is an article or main element or in one
     stack = [("", 0)]  # open block elements
     last: dict[int, int] = {}  # node to its latest child node
     buf: list[str] = []
@@ -88,17 +96,19 @@ def parse(page: str) -> tuple[list[tuple[int, str, bool]], list[tuple[int, str]]
             stack.pop()
         attrs = m[3]
         key, hint = tag, False
+        within = inside[stack[-1][1]]
         if attrs:
             found = [(a.lower(), x or y or z) for a, x, y, z in ATTR.findall(attrs)]
             if found:
                 hint = tag not in ("html", "body", "main", "article") and any(HINT.search(v) for _, v in found) or tag == "article" and any(re.search(r"(?:^|[\s_-])comments?(?:$|[\s_-])", v) for _, v in found)
                 key = tag + "".join(f" {a}={v}" for a, v in found if a != "id")
         parent = stack[-1][1]
-        boiler = nodes[parent][2] or tag in BOILER or hint or tag == "header" and not any(t in ("article", "main") for t, _ in stack)
+        kind = BOILERPLATE if nodes[parent][2] == BOILERPLATE or tag in BOILER or tag == "header" and not within or hint else FREE
         child = last.get(parent)
-        if child is None or nodes[child][1] != key or nodes[child][2] != boiler:
+        if child is None or nodes[child][1:] != (key, kind):
             child = len(nodes)
-            nodes.append((parent, key, boiler))
+            nodes.append((parent, key, kind))
+            inside.append(within or tag in ("article", "main"))
             last[parent] = child
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
@@ -116,6 +126,10 @@ def host(url) -> str:
     return (m[1] if m else "").lower().rpartition("@")[2].removeprefix("www.").removeprefix("m.")
 
 
+def digest(text: str, size: int) -> bytes:
+    return blake2b(text.encode("utf-8", "surrogatepass"), digest_size=size).digest()
+
+
 def _parse(batches):
     for b in batches:
         out = defaultdict(list)
@@ -125,19 +139,24 @@ def _parse(batches):
             for k, t in blocks:
                 own[k].append(t)
             shape = json.dumps(nodes, ensure_ascii=False)
+            plain = [x[2] == FREE for x in nodes]
+            for k, x in enumerate(nodes):
+                plain[k] = plain[k] and (x[0] < 0 or plain[x[0]])
             out["page_id"].append(page)
             out["url"].append(url)
             out["host"].append(host(url))
-            out["tree"].append(blake2b(shape.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest())
+            out["tree"].append(digest(shape, 12).hex())
             out["shape"].append(shape)
             out["at"].append([k for k, _ in blocks])
             out["block"].append([t for _, t in blocks])
-            out["sums"].append([int.from_bytes(blake2b("\n".join(own[k]).encode("utf-8", "surrogatepass"), digest_size=7).digest()) for k in range(len(nodes))])
-        kinds = {"page_id": pa.int64(), "at": pa.list_(pa.int32()), "block": pa.list_(pa.string()), "sums": pa.list_(pa.int64())}
+            out["said"].append(int.from_bytes(digest("\n".join(t for k, t in blocks if plain[k]), 7)))
+            out["sums"].append([int.from_bytes(digest("\n".join(own[k]), 7)) for k in range(len(nodes))])
+            out["chars"].append([sum(map(len, own[k])) for k in range(len(nodes))])
+        kinds = {"page_id": pa.int64(), "at": pa.list_(pa.int32()), "block": pa.list_(pa.string()), "said": pa.int64(), "sums": pa.list_(pa.int64()), "chars": pa.list_(pa.int32())}
         yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.string())) for k, v in out.items()], list(out))
 
 
-PARSED = "page_id long, url string, host string, tree string, shape string, at array<int>, block array<string>, sums array<long>"
+PARSED = "page_id long, url string, host string, tree string, shape string, at array<int>, block array<string>, said long, sums array<long>, chars array<int>"
 
 
 def children(nodes) -> list[list[int]]:
@@ -186,43 +205,65 @@ def match(a, b) -> dict[int, int]:
     return out
 
 
-def _induce(most_nodes: int):
-    def run(t):
-        """Per tree of one host, the nodes that are content."""
-        rows = t.sort_by([("pages", "descending"), ("tree", "ascending")]).to_pylist()
-        first = json.loads(rows[0]["shape"])
-        low, high, seen, maps = {}, {}, defaultdict(int), []
-        for r in rows:
-            nodes = json.loads(r["shape"])
-            to = match(first, nodes) if len(nodes) * len(first) <= most_nodes**2 else {}
-            maps.append((r, nodes, to))
-            for k in range(len(nodes)):
-                if k in to:
-                    i = to[k]
-                    low[i] = min(low.get(i, r["low"][k]), r["low"][k])
-                    high[i] = max(high.get(i, r["high"][k]), r["high"][k])
-                    seen[i] += r["pages"]
-        out = []
-        for r, nodes, to in maps:
-            root = [False] * len(nodes)
-            for k, (parent, key, _) in enumerate(nodes):
-                root[k] = parent >= 0 and root[parent] or key.split(" ")[0] in ("article", "main")
-            free = [k for k, x in enumerate(nodes) if not x[2]]
-            inside = [k for k in free if root[k]]
-            constant = {k for k, i in to.items() if seen[i] > 1 and low[i] == high[i]} | {k for k in range(len(nodes)) if k not in to and r["pages"] > 1 and r["low"][k] == r["high"][k]}
-            slots = [k for k in free if k not in constant]
-            out.append(inside or slots or free)
-        return pa.table({"host": pa.array([r["host"] for r in rows]), "tree": pa.array([r["tree"] for r in rows]), "content": pa.array(out, pa.list_(pa.int32()))})
-
-    return run
-
-
-def wrappers(parsed: DataFrame, most_nodes: int = 2000) -> DataFrame:
+def _content(nodes, names, constant, varied):
+    """The content nodes of a tree; constant(name, in an article) and varied(name) are what the host's pages say."""
+    n = len(nodes)
+    root, plain = [-1] * n, [True] * n
+    for k, (parent, key, kind) in enumerate(nodes):
+        plain[k] = kind != BOILERPLATE
+        root[k] = k if key.split(" ")[0] in ("article", "main") and kind == FREE else root[parent] if parent >= 0 else -1
+    slot = [plain[k] and not constant(names[k], root[k] >= 0) for k in range(n)]
+    moves = [plain[k] and varied(names[k]) for k in range(n)]
+    free = [k for k in range(n) if plain[k]]
+    if any(moves[k] for k in free):
+        return [k for k in free if slot[k]]
+    return [k for k in free if root[k] >= 0] or free
+
+
+def _induce(t):
+    """Per tree of one host, the nodes that are content."""
+    rows = t.sort_by([("pages", "descending"), ("tree", "ascending")]).to_pylist()
+    first = json.loads(rows[0]["shape"])
+    stats: dict = {}  # name of a node to [low, high, lowest and highest page, pages, characters]
+    named: dict = {}  # a node's partner in the commonest tree, or (parent's name, key), to its name
+    maps = []
+    for r in rows:
+        nodes = json.loads(r["shape"])
+        to = match(first, nodes) if len(nodes) * len(first) <= MOST_NODES**2 else {}
+        names: list[int] = []
+        for k, (parent, key, _) in enumerate(nodes):
+            what = to[k] if k in to else (names[parent], key)
+            names.append(named.setdefault(what, len(named)))
+        seen = set()
+        for k, name in enumerate(names):
+            s = stats.setdefault(name, [r["low"][k], r["high"][k], r["least"], r["most"], 0, 0])
+            s[0], s[1] = min(s[0], r["low"][k]), max(s[1], r["high"][k])
+            s[2], s[3] = min(s[2], r["least"]), max(s[3], r["most"])
+            s[4] += 0 if name in seen else r["pages"]
+            s[5] += r["chars"][k]
+            seen.add(name)
+        maps.append(names)
+    pages = sum(r["pages"] for r in rows)
+
+    def constant(name, in_article):
+        low, high, least, most, n, _ = stats[name]
+        return low == high and least != most and (not in_article or n >= 3 and 2 * n >= pages)
+
+    def varied(name):
+        low, high, least, most, _, chars = stats[name]
+        return low != high and least != most and chars > 0
+
+    out = [_content(json.loads(r["shape"]), names, constant, varied) for r, names in zip(rows, maps)]
+    return pa.table({"host": pa.array([r["host"] for r in rows]), "tree": pa.array([r["tree"] for r in rows]), "content": pa.array(out, pa.list_(pa.int32()))})
+
+
+def wrappers(parsed: DataFrame) -> DataFrame:
     """(host, tree, content nodes) from all pages; a host's group holds its distinct trees, not its pages."""
-    sums = parsed.select("host", "tree", F.posexplode("sums").alias("k", "s")).groupBy("host", "tree", "k").agg(F.min("s").alias("low"), F.max("s").alias("high"))
-    sums = sums.groupBy("host", "tree").agg(F.array_sort(F.collect_list(F.struct("k", "low", "high"))).alias("x")).select("host", "tree", F.col("x.low").alias("low"), F.col("x.high").alias("high"))
-    trees = parsed.groupBy("host", "tree").agg(F.first("shape").alias("shape"), F.count(F.lit(1)).alias("pages"))
-    return trees.join(sums, ["host", "tree"]).groupBy("host").applyInArrow(_induce(most_nodes), "host string, tree string, content array<int>")
+    each = parsed.select("host", "tree", F.posexplode(F.arrays_zip("sums", "chars")).alias("k", "x"))
+    sums = each.groupBy("host", "tree", "k").agg(F.min("x.sums").alias("low"), F.max("x.sums").alias("high"), F.sum(F.col("x.chars").cast("long")).alias("chars"))
+    sums = sums.groupBy("host", "tree").agg(F.array_sort(F.collect_list(F.struct("k", "low", "high", "chars"))).alias("x")).select("host", "tree", F.col("x.low").alias("low"), F.col("x.high").alias("high"), F.col("x.chars").alias("chars"))
+    trees = parsed.groupBy("host", "tree").agg(F.first("shape").alias("shape"), F.count(F.lit(1)).alias("pages"), F.min("said").alias("least"), F.max("said").alias("most"))
+    return trees.join(sums, ["host", "tree"]).groupBy("host").applyInArrow(_induce, "host string, tree string, content array<int>")
 
 
 def extract(pages: DataFrame, most_broadcast: int = 200_000) -> DataFrame:

@@ -211,6 +211,28 @@ def test_html(spark):
     assert got[20] == "cut\noff"
 
 
+def extracted(spark, pages):
+    """Texts of pages given as (url, html), in order."""
+    rows = [(k, u, h) for k, (u, h) in enumerate(pages)]
+    return [r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+def test_html_alignment_decides_where_there_are_articles(spark):
+    """Text outside teasers stays, template inside an article goes; copies of an article and hosts of one page are kept whole."""
+    teasers = "<body><div class=top>Same</div><div class=text><p>body {0} of some length</p></div><div class=cards><article class=card>card {0}</article></div></body>"
+    fixed = "<body><div class=top>Same</div><article><h1>title {0}</h1><p>text {0}</p><div class=policy>Our policy</div></article></body>"
+    copy = "<body><div class=top>Same</div><article><h1>one</h1><table><tr><td>two</td></tr></table></article></body>"
+    other = "<body><div class=top>Same</div><article><h1>title {0}</h1><p>text {0}</p></article></body>"
+    pages = [("http://a.org", teasers.format(k)) for k in range(3)] + [("http://b.org", fixed.format(k)) for k in range(3)]
+    pages += [("http://c.org", copy)] * 3 + [("http://c.org", other.format(k)) for k in range(4)] + [("http://d.org", fixed.format(9))]
+    got = extracted(spark, pages)
+    assert got[:3] == [f"body {k} of some length\ncard {k}" for k in range(3)]
+    assert got[3:6] == [f"title {k}\ntext {k}" for k in range(3)]
+    assert got[6:9] == ["one\ntwo"] * 3
+    assert got[9:13] == [f"title {k}\ntext {k}" for k in range(4)]
+    assert got[13] == "title 9\ntext 9\nOur policy"
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 99), (99, 98)]
     got = {r.id: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
