@@ -9,7 +9,9 @@ elsewhere; the others are slots. A page's content is its slots. An article or ma
 also takes three pages and half of the host's, so that copies of an article stay. Where no text of a page is seen to vary (hosts
 of one page or of copies), the page's article or main element is its content, or else all its text.
 
-Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are never content.
+Menus, footers, scripts and the like, by element name, are never content. Words in class, role or id mark an element as doubtful:
+it goes unless it holds an article or main element or over half of the page's varying text, or lies where most of that text
+lies and has varying text itself.
 
 Defined results: null html is the empty page with empty text; a page cut off in a tag loses that tag only; a null url is a
 host of its own; repeated rows each give a row; extra columns are ignored.
@@ -20,7 +22,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -44,7 +46,7 @@ SPACE = re.compile(r"\s+")
 
 MOST_NODES = 2000
 #: What is known of a node by itself.
-FREE, BOILERPLATE = range(2)
+FREE, BOILERPLATE, DOUBTFUL = range(3)
 
 
 def parse(page: str) -> tuple[list[tuple[int, str, int]], list[tuple[int, str]]]:
@@ -100,10 +102,11 @@ def parse(page: str) -> tuple[list[tuple[int, str, int]], list[tuple[int, str]]]
         if attrs:
             found = [(a.lower(), x or y or z) for a, x, y, z in ATTR.findall(attrs)]
             if found:
-                hint = tag not in ("html", "body", "main", "article") and any(HINT.search(v) for _, v in found) or tag == "article" and any(re.search(r"(?:^|[\s_-])comments?(?:$|[\s_-])", v) for _, v in found)
+                heading = tag[:1] == "h" and tag[1:].isdigit()
+                hint = tag not in ("html", "body", "main", "article") and not heading and any(HINT.search(v) for a, v in found if a != "id" or not within) or tag == "article" and any(re.search(r"(?:^|[\s_-])comments?(?:$|[\s_-])", v) for _, v in found)
                 key = tag + "".join(f" {a}={v}" for a, v in found if a != "id")
         parent = stack[-1][1]
-        kind = BOILERPLATE if nodes[parent][2] == BOILERPLATE or tag in BOILER or tag == "header" and not within or hint else FREE
+        kind = BOILERPLATE if nodes[parent][2] == BOILERPLATE or tag in BOILER or tag == "header" and not within else DOUBTFUL if hint else FREE
         child = last.get(parent)
         if child is None or nodes[child][1:] != (key, kind):
             child = len(nodes)
@@ -205,16 +208,32 @@ def match(a, b) -> dict[int, int]:
     return out
 
 
-def _content(nodes, names, constant, varied):
+def _content(nodes, names, constant, varied, chars):
     """The content nodes of a tree; constant(name, in an article) and varied(name) are what the host's pages say."""
     n = len(nodes)
     root, plain = [-1] * n, [True] * n
     for k, (parent, key, kind) in enumerate(nodes):
         plain[k] = kind != BOILERPLATE
         root[k] = k if key.split(" ")[0] in ("article", "main") and kind == FREE else root[parent] if parent >= 0 else -1
+    times = Counter(names)
     slot = [plain[k] and not constant(names[k], root[k] >= 0) for k in range(n)]
     moves = [plain[k] and varied(names[k]) for k in range(n)]
-    free = [k for k in range(n) if plain[k]]
+    mass = [chars(names[k]) / times[names[k]] if slot[k] else 0 for k in range(n)]
+    holds, stirs = [root[k] == k for k in range(n)], list(moves)
+    for k in range(n - 1, 0, -1):
+        parent = nodes[k][0]
+        mass[parent] += mass[k]
+        holds[parent] |= holds[k]
+        stirs[parent] |= stirs[k]
+    most, below = 0, children(nodes)
+    while heavy := [c for c in below[most] if mass[c] * 2 > mass[0]]:
+        most = heavy[0]
+    region = root[most] if root[most] >= 0 else most
+    within, gone = [False] * n, [False] * n
+    for k, (parent, _, kind) in enumerate(nodes):
+        within[k] = k == region or parent >= 0 and within[parent]
+        gone[k] = parent >= 0 and gone[parent] or kind == DOUBTFUL and not (holds[k] or mass[k] * 2 > mass[0] or within[k] and stirs[k])
+    free = [k for k in range(n) if plain[k] and not gone[k]]
     if any(moves[k] for k in free):
         return [k for k in free if slot[k]]
     return [k for k in free if root[k] >= 0] or free
@@ -253,7 +272,7 @@ def _induce(t):
         low, high, least, most, _, chars = stats[name]
         return low != high and least != most and chars > 0
 
-    out = [_content(json.loads(r["shape"]), names, constant, varied) for r, names in zip(rows, maps)]
+    out = [_content(json.loads(r["shape"]), names, constant, varied, lambda name: stats[name][5] / stats[name][4]) for r, names in zip(rows, maps)]
     return pa.table({"host": pa.array([r["host"] for r in rows]), "tree": pa.array([r["tree"] for r in rows]), "content": pa.array(out, pa.list_(pa.int32()))})
 
 

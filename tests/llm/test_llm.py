@@ -233,6 +233,17 @@ def test_html_alignment_decides_where_there_are_articles(spark):
     assert got[13] == "title 9\ntext 9\nOur policy"
 
 
+def test_html_words_in_attributes_are_evidence_only(spark):
+    """A word in class or id drops neither what holds the article or most of the text nor varying text inside it."""
+    page = "<body><div class='ad'>buy {0}</div><div class='{1}'><article><h2 id=search>search {0}</h2><p>long text {0}</p><section id=related>related {0}</section><div class=share>Share</div></article></div></body>"
+    plain = "<body><div class=promo>offer {0}</div><div class='layout-sidebar-right'><div><p>long text {0} without an article</p></div></div></body>"
+    pages = [("http://a.org", page.format(k, "has-sidebar")) for k in range(3)] + [("http://b.org", plain.format(k)) for k in range(3)] + [("http://c.org", page.format(9, "layout-sidebar-right"))]
+    got = extracted(spark, pages)
+    assert got[:3] == [f"search {k}\nlong text {k}\nrelated {k}" for k in range(3)]
+    assert got[3:6] == [f"long text {k} without an article" for k in range(3)]
+    assert got[6] == "search 9\nlong text 9\nrelated 9"
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 99), (99, 98)]
     got = {r.id: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
