@@ -2,7 +2,7 @@
 
 Each page becomes a tree of its block elements, runs of like siblings merged, and a list of text blocks with their node. Pages
 of a host are counted per distinct tree, with whether each node's text is the same on all of them; that is a map-side
-aggregate, so a host with a third of all pages is no hot group. Per host the trees are aligned with the commonest
+aggregate, so a host with a third of all pages is no hot group. Per host the trees, of any size, are aligned with the commonest
 one by simple tree matching (the largest order-keeping match, by dynamic programming); nodes without a partner are known by
 their parent's and their own key. A node is template if its text is the same on all pages that have it, and those pages differ
 elsewhere; the others are slots. A page's content is its slots. An article or main element is evidence only: inside one, template
@@ -25,6 +25,7 @@ import re
 from collections import Counter, defaultdict
 from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,7 +45,6 @@ ATTR = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s
 SPACE = re.compile(r"\s+")
 
 
-MOST_NODES = 2000
 #: What is known of a node by itself.
 FREE, BOILERPLATE, DOUBTFUL = range(3)
 
@@ -170,41 +170,117 @@ def children(nodes) -> list[list[int]]:
     return out
 
 
+def _row(w, above):
+    """The next row of the alignment's table: the best sums of weights with one more element on the left."""
+    out = np.empty_like(above)
+    out[0] = 0
+    np.maximum.accumulate(np.maximum(above[1:], above[:-1] + w), out=out[1:])
+    return out
+
+
+def _rows(w, rows, y):
+    out = np.zeros(len(y) + 1, np.int64)
+    for p in rows:
+        out = _row(w[p][y], out)
+    return out
+
+
+def align(w, x, y) -> list[tuple[int, int]]:
+    """Positions (p, q) of the order-keeping pairs of x and y with the largest sum of w[x[p], y[q]]; memory grows with len(x) + len(y)."""
+    out, todo = [], [(0, len(x), 0, len(y))]
+    while todo:
+        a, b, c, d = todo.pop()
+        if a == b or c == d:
+            continue
+        if b - a == 1:
+            q = int(w[x[a]][y[c:d]].argmax())
+            if w[x[a], y[c + q]]:
+                out.append((a, c + q))
+            continue
+        mid = (a + b) // 2
+        q = c + int((_rows(w, x[a:mid], y[c:d]) + _rows(w, x[mid:b][::-1], y[c:d][::-1])[::-1]).argmax())
+        todo += [(a, mid, c, q), (mid, b, q, d)]
+    return out
+
+
+def classes(nodes, known: dict) -> list[int]:
+    """A number for each node, equal where the trees below are; known maps (key, children's numbers) to it."""
+    below = children(nodes)
+    out = [0] * len(nodes)
+    for k in range(len(nodes) - 1, -1, -1):  # children come after their parents
+        what = (nodes[k][1], tuple(out[c] for c in below[k]))
+        if what not in known:
+            known[what] = len(known)
+        out[k] = known[what]
+    return out
+
+
 def match(a, b) -> dict[int, int]:
-    """Simple tree matching: b's nodes that match a's, by the largest order-keeping match of equal keys from the roots down."""
-    ca, cb, size = children(a), children(b), {}
-
-    def best(i, j):
-        if (i, j) in size:
-            return size[i, j]
-        if a[i][1] != b[j][1]:
-            return 0
-        x, y = ca[i], cb[j]
-        m = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-        for p in range(1, len(x) + 1):
-            for q in range(1, len(y) + 1):
-                m[p][q] = max(m[p - 1][q], m[p][q - 1], m[p - 1][q - 1] + best(x[p - 1], y[q - 1]))
-        size[i, j] = 1 + m[-1][-1]
-        pairs[i, j] = m
-        return size[i, j]
-
-    pairs: dict = {}
-    best(0, 0)
-    out, todo = {0: 0}, [(0, 0)]
+    """Simple tree matching: b's nodes that match a's, by the largest order-keeping match of equal keys from the roots down.
+
+    Equal subtrees at either end of two lists of children are paired without a table, which loses nothing: no other partner has
+    a larger match. Weights are kept per pair of different subtrees, and neither depth nor size is bounded.
+    """
+    known: dict = {}
+    ia, ib = classes(a, known), classes(b, known)
+    keys, kids, nodes = [], [], []
+    for key, below in known:
+        keys.append(key)
+        kids.append(below)
+        nodes.append(1 + sum(nodes[c] for c in below))
+    weight: dict = {}
+
+    def ends(x, y):
+        n, head, tail = min(len(x), len(y)), 0, 0
+        while head < n and x[head] == y[head]:
+            head += 1
+        while tail < n - head and x[-1 - tail] == y[-1 - tail]:
+            tail += 1
+        return head, tail
+
+    def quick(i, j):
+        """The weight of a pair where it needs no table or is known, else None."""
+        return nodes[i] if i == j else 0 if keys[i] != keys[j] else 1 if not kids[i] or not kids[j] else weight.get((i, j))
+
+    def middle(i, j):
+        x, y = kids[i], kids[j]
+        head, tail = ends(x, y)
+        return head, tail, x[head : len(x) - tail], y[head : len(y) - tail]
+
+    def table(x, y):
+        """(weights of the different elements, x and y as positions in it)."""
+        dx, dy = list(dict.fromkeys(x)), list(dict.fromkeys(y))
+        w = np.array([[quick(i, j) for j in dy] for i in dx], np.int64).reshape(len(dx), len(dy))
+        px, py = {v: k for k, v in enumerate(dx)}, {v: k for k, v in enumerate(dy)}
+        return w, np.array([px[v] for v in x], np.int64), np.array([py[v] for v in y], np.int64)
+
+    todo = [(ia[0], ib[0])]
     while todo:
-        i, j = todo.pop()
-        m, x, y = pairs[i, j], ca[i], cb[j]
-        p, q = len(x), len(y)
-        while p and q:
-            w = best(x[p - 1], y[q - 1])
-            if w and m[p][q] == m[p - 1][q - 1] + w:
-                out[y[q - 1]] = x[p - 1]
-                todo.append((x[p - 1], y[q - 1]))
-                p, q = p - 1, q - 1
-            elif m[p][q] == m[p - 1][q]:
-                p -= 1
-            else:
-                q -= 1
+        i, j = todo[-1]
+        if quick(i, j) is not None:
+            todo.pop()
+            continue
+        head, tail, x, y = middle(i, j)
+        wanted = [(p, q) for p in set(x) for q in set(y) if quick(p, q) is None]
+        if wanted:
+            todo += wanted
+            continue
+        w, px, py = table(x, y)
+        weight[i, j] = 1 + sum(nodes[c] for c in kids[i][:head]) + sum(nodes[c] for c in kids[i][len(kids[i]) - tail :]) + int(_rows(w, px, py)[-1])
+        todo.pop()
+
+    ca, cb, out, todo = children(a), children(b), {}, [(0, 0)]
+    while todo:
+        p, q = todo.pop()
+        out[q] = p
+        if ia[p] == ib[q]:
+            todo += zip(ca[p], cb[q])
+            continue
+        head, tail, x, y = middle(ia[p], ib[q])
+        todo += zip(ca[p][:head], cb[q][:head])
+        todo += zip(ca[p][len(ca[p]) - tail :], cb[q][len(cb[q]) - tail :])
+        if x and y:
+            todo += [(ca[p][head + k], cb[q][head + l]) for k, l in align(*table(x, y))]
     return out
 
 
@@ -248,7 +324,7 @@ def _induce(t):
     maps = []
     for r in rows:
         nodes = json.loads(r["shape"])
-        to = match(first, nodes) if len(nodes) * len(first) <= MOST_NODES**2 else {}
+        to = match(first, nodes)
         names: list[int] = []
         for k, (parent, key, _) in enumerate(nodes):
             what = to[k] if k in to else (names[parent], key)

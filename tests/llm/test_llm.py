@@ -244,6 +244,42 @@ def test_html_words_in_attributes_are_evidence_only(spark):
     assert got[6] == "search 9\nlong text 9\nrelated 9"
 
 
+def test_html_aligns_large_and_deep_trees(spark):
+    """Trees of thousands of nodes, or a thousand deep, follow the rule of small ones."""
+    long = lambda k: "<body><div class=top>Same</div><div class=text>" + "".join(f"<h2>h {k} {i}</h2><p>p {k} {i}</p>" for i in range(1100 + k)) + "</div><div class=end>Same too</div></body>"
+    deep = lambda k: "<body><div class=top>Same</div>" + "<div>" * (1200 + k) + f"text {k}" + "</div>" * (1200 + k) + "</body>"
+    got = extracted(spark, [("http://a.org", long(k)) for k in range(3)] + [("http://b.org", deep(k)) for k in range(3)])
+    assert got[:3] == ["\n".join(f"h {k} {i}\np {k} {i}" for i in range(1100 + k)) for k in range(3)]
+    assert got[3:] == [f"text {k}" for k in range(3)]
+
+
+def test_html_match_is_largest():
+    """The alignment is as large as plain recursion finds it, keeps order and pairs children of paired parents only."""
+    rng = np.random.default_rng(5)
+
+    def tree(n):
+        return [(-1, "", 0)] + [(int(rng.integers(max(0, k - 5), k)), "abc"[rng.integers(3)], 0) for k in range(1, n)]
+
+    def plain(a, b, i=0, j=0):
+        if a[i][1] != b[j][1]:
+            return 0
+        x, y = ([k for k, v in enumerate(t) if v[0] == p] for t, p in ((a, i), (b, j)))
+        m = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for p, c in enumerate(x):
+            for q, d in enumerate(y):
+                m[p + 1][q + 1] = max(m[p][q + 1], m[p + 1][q], m[p][q] + plain(a, b, c, d))
+        return 1 + m[-1][-1]
+
+    for _ in range(100):
+        a, b = tree(rng.integers(1, 25)), tree(rng.integers(1, 25))
+        to = html.match(a, b)
+        assert len(to) == plain(a, b)
+        assert all(a[p][1] == b[q][1] and (q == 0 or to[b[q][0]] == a[p][0]) for q, p in to.items())
+        for parent in to:
+            partners = [to[q] for q in sorted(to) if b[q][0] == parent]
+            assert partners == sorted(set(partners))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 99), (99, 98)]
     got = {r.id: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
