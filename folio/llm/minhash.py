@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import components, flat, hashed, mix, shingles, small_batches, staged, table, words_of
 
 WIDTH, SIMILARITY, BANDS, ROWS, TILE = 5, 0.8, 26, 5, 512
-#: Estimates below the threshold by more than this (3.5 standard deviations at 130 slots) are not followed.
-MARGIN = 0.125
+#: Estimates below the threshold by more than this (6 standard deviations at 130 slots) are not followed; at similarity 0.8 that is 2 pairs in 10^8.
+MARGIN = 0.21
 ONE = np.uint64(1)
 
 

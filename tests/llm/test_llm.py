@@ -200,6 +200,17 @@ def test_embeddings(spark):
     assert all((got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True) for i in range(201, 206))
 
 
+def test_minhash_follows_low_estimates():
+    """Two texts of similarity 0.8 whose signatures agree in 80 of 130 slots only are verified and linked."""
+    import pyarrow as pa
+
+    a, b = np.arange(130, dtype="<u2"), np.arange(130, dtype="<u2")
+    b[80:] += 1000
+    t = pa.table({"left": [True, True], "id": [1, 2], "comp": [1, 2], "size": [90, 90], "sig": [a.tobytes(), b.tobytes()], "bag": pa.array([list(range(90)), list(range(10, 100))], pa.list_(pa.int64()))})
+    got = minhash._links(minhash.SIMILARITY - minhash.MARGIN, minhash.SIMILARITY)([pa.scalar(True)], t)
+    assert got.to_pylist() == [{"a": 1, "b": 2}]
+
+
 def test_html(spark):
     page = "<html><head><title>t</title><script>x('</p>')</script></head><body><nav>menu</nav><div class='ad'>buy</div><article><h1>A &amp; B</h1><p>one <b>two</b><p>three<div class=comments>no</div></article><footer>f</footer>"
     plain = "<body><div class=top>Same</div><div class=x><p>text {}</p></div></body>"
