@@ -74,6 +74,17 @@ def signatures(h: np.ndarray, row: np.ndarray, count: np.ndarray, rows: int, slo
     return who.reshape(rows, slots)
 
 
+def text_keys(words: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """The whole sequence of words of each text, as 128 bits."""
+    n = len(off) - 1
+    key = np.zeros((n, 2), np.uint64)
+    r = np.repeat(np.arange(n), np.diff(off))
+    place = (np.arange(len(words)) - off[:-1][r]).astype(np.uint64) if len(words) else np.zeros(0, np.uint64)
+    for j in range(2):
+        np.add.at(key[:, j], r, mix(words.astype(np.uint64) ^ mix(place * np.uint64(2) + np.uint64(j + 77))))
+    return key.view(np.int64)
+
+
 def _sketch(width: int, bands: int, rows: int):
     slots = bands * rows
 
@@ -82,12 +93,7 @@ def _sketch(width: int, bands: int, rows: int):
             words, off = flat(b.column("w"))
             n = b.num_rows
             h, row = shingles(words, off, width)
-            # the whole sequence of words, as 128 bits
-            key = np.zeros((n, 2), np.uint64)
-            r = np.repeat(np.arange(n), np.diff(off))
-            place = (np.arange(len(words)) - off[:-1][r]).astype(np.uint64) if len(words) else np.zeros(0, np.uint64)
-            for j in range(2):
-                np.add.at(key[:, j], r, mix(words.astype(np.uint64) ^ mix(place * np.uint64(2) + np.uint64(j + 77))))
+            key = text_keys(words, off)
             x, at, c = counted(h, row)
             sig = np.zeros((n, slots), np.uint64)
             step = 200  # rows at a time: 200 x slots doubles
@@ -104,7 +110,7 @@ def _sketch(width: int, bands: int, rows: int):
             size = np.bincount(row, minlength=n)
             short = (sig & np.uint64(0xFFFF)).astype("<u2")
             yield pa.RecordBatch.from_arrays([
-                b.column("doc_id"), pa.array(key[:, 0].view(np.int64)), pa.array(key[:, 1].view(np.int64)), pa.array(size.astype(np.int64)),
+                b.column("doc_id"), pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array(size.astype(np.int64)),
                 pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * bands, pa.int32()), pa.array(band.reshape(-1).view(np.int64))),
                 pa.array([x.tobytes() for x in short], pa.binary()),
             ], ["doc_id", "k1", "k2", "size", "bands", "sig"])
@@ -130,7 +136,8 @@ def _bags(width: int):
             h = mix(h ^ mix((np.arange(len(h)) - first).astype(np.uint64))).view(np.int64)
             h = h[np.lexsort((h, row))]
             cut = np.searchsorted(row, np.arange(b.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(h))], ["id", "bag"])
+            key = text_keys(words, off)
+            yield pa.RecordBatch.from_arrays([pa.array(key[:, 0]), pa.array(key[:, 1]), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(h))], ["k1", "k2", "bag"])
 
     return run
 
@@ -190,9 +197,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIM
     real = docs.where("text is not null and doc_id is not null")
     worded = lambda d: d.select("doc_id", hashed(words_of(F.col("text"))).alias("w"))
     sketch = staged(worded(real).mapInArrow(_sketch(width, bands, rows), SKETCH), "sketch")
-    reps = sketch.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.min("size").alias("size"))
-    # a doc_id may stand in several rows of different texts: the class joins by both
-    first = sketch.join(reps.select(F.col("k1").alias("x1"), F.col("k2").alias("x2"), "id"), (F.col("k1") == F.col("x1")) & (F.col("k2") == F.col("x2")) & (F.col("doc_id") == F.col("id"))).where("size > 0")
+    # a doc_id may stand in several rows of different texts: classes have ids of their own, and are joined by the text's key
+    reps = staged(sketch.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc")).withColumn("id", F.monotonically_increasing_id()), "reps")
+    first = sketch.join(reps.select(F.col("k1").alias("x1"), F.col("k2").alias("x2"), "doc", "id"), (F.col("k1") == F.col("x1")) & (F.col("k2") == F.col("x2")) & (F.col("doc_id") == F.col("doc"))).where("size > 0")
     banded = staged(first.dropDuplicates(["id"]).select("id", F.explode("bands").alias("bucket")), "bands")
     full = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = staged(banded.join(full, "bucket"), "shared")
@@ -200,8 +207,10 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIM
     ranked = shared.join(score, "id")
     hubs = ranked.groupBy("bucket").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("hub"))
     star = shared.join(hubs, "bucket").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    ids = score.select("id")
-    bags = staged(worded(real.join(ids.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id", "left_semi")).mapInArrow(_bags(width), "id long, bag array<long>").dropDuplicates(["id"]), "bags")
+    wanted = staged(reps.join(score.select("id"), "id"), "wanted")
+    texts = worded(real.join(wanted.select(F.col("doc").alias("doc_id")).hint("merge"), "doc_id", "left_semi"))
+    bags = texts.mapInArrow(_bags(width), "k1 long, k2 long, bag array<long>").dropDuplicates(["k1", "k2"])
+    bags = staged(bags.join(wanted.select("k1", "k2", "id"), ["k1", "k2"]).select("id", "bag"), "bags")
 
     def verified(pairs: DataFrame) -> DataFrame:
         x = pairs.join(bags.select(F.col("id").alias("a"), F.col("bag").alias("x")), "a").join(bags.select(F.col("id").alias("b"), F.col("bag").alias("y")), "b")
@@ -219,7 +228,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIM
     rest = rest.select("bucket", F.least("part", "q").alias("pa"), F.greatest("part", "q").alias("pb"), (F.col("part") <= F.col("q")).alias("left"), (F.col("part") == F.col("q")).alias("within"), "id", "comp", "size", "sig", "bag")
     more = staged(rest.groupBy("bucket", "pa", "pb", "within").applyInArrow(_links(similarity - MARGIN, similarity), "a long, b long"), "links")
     comp = staged(components(links.unionByName(more)), "comp")
-    of = reps.join(comp, "id", "left").select("k1", "k2", F.col("id").alias("copies_of"), F.coalesce("comp", "id").alias("class_id"))
+    of = reps.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    least = of.groupBy("comp").agg(F.min("doc").alias("class_id"))
+    of = of.join(least, "comp").select("k1", "k2", F.col("doc").alias("copies_of"), "class_id")
     known = sketch.join(of, ["k1", "k2"]).select("doc_id", "class_id", "copies_of")
     lone = docs.where("text is null or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copies_of"))
     return known.unionByName(lone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))

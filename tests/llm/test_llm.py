@@ -211,6 +211,15 @@ def test_minhash_follows_low_estimates():
     assert got.to_pylist() == [{"a": 1, "b": 2}]
 
 
+def test_minhash_texts_of_one_doc_id(spark):
+    """Different texts under one doc_id keep their own links and classes."""
+    a, b, c = ([f"{x}{k}" for k in range(100)] for x in "abc")
+    near = lambda w: [*w[:-1], "changed"]
+    docs = [(5, a), (5, b), (0, near(b)), (7, near(a)), (6, c), (6, a), (8, near(c)), (6, c)]
+    out = minhash.near_duplicates(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string").repartition(3))
+    assert sorted((r.doc_id, r.copies_of, r.class_id, r.kept) for r in out.collect()) == sorted([(5, 5, 5, True), (5, 5, 0, False), (0, 0, 0, True), (7, 7, 5, False), (6, 6, 6, True), (6, 5, 5, False), (8, 8, 6, False), (6, 6, 6, True)])
+
+
 def test_html(spark):
     page = "<html><head><title>t</title><script>x('</p>')</script></head><body><nav>menu</nav><div class='ad'>buy</div><article><h1>A &amp; B</h1><p>one <b>two</b><p>three<div class=comments>no</div></article><footer>f</footer>"
     plain = "<body><div class=top>Same</div><div class=x><p>text {}</p></div></body>"
