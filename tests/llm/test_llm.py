@@ -220,6 +220,17 @@ def test_minhash_texts_of_one_doc_id(spark):
     assert sorted((r.doc_id, r.copies_of, r.class_id, r.kept) for r in out.collect()) == sorted([(5, 5, 5, True), (5, 5, 0, False), (0, 0, 0, True), (7, 7, 5, False), (6, 6, 6, True), (6, 5, 5, False), (8, 8, 6, False), (6, 6, 6, True)])
 
 
+def test_toxicity_trains_on_ten_thousand_rows(spark, monkeypatch):
+    """All labelled rows outside the held-out fold are trained on where they are at most 10,000."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(toxicity, "_train", lambda bits, epochs: lambda key, t: pa.table({"slot": pa.array([0], pa.int64()), "w": [float(t.num_rows)]}))
+    docs = spark.range(11_500).selectExpr("id AS doc_id", "'a b' AS text", "0 AS toxic")
+    outside = docs.where(~toxicity.held_out()).count()
+    assert 8_000 < outside <= 10_000
+    assert toxicity.train(docs, docs)[1].tolist() == [outside]
+
+
 def test_html(spark):
     page = "<html><head><title>t</title><script>x('</p>')</script></head><body><nav>menu</nav><div class='ad'>buy</div><article><h1>A &amp; B</h1><p>one <b>two</b><p>three<div class=comments>no</div></article><footer>f</footer>"
     plain = "<body><div class=top>Same</div><div class=x><p>text {}</p></div></body>"
