@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from functools import reduce
@@ -21,26 +23,78 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where the session names none (tests)."""
+    """The folder of spark.checkpoint.dir. Where the session names none: one of our own on a local master (tests), removed at exit; an error on a cluster, whose executors share no folder of one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="folio-")
+        atexit.register(shutil.rmtree, root, True)
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df as a table written to the shared folder and read again: lineage ends here and a lost executor loses nothing."""
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def staged(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
+    """df as a table written to the shared folder and read again: lineage ends here and a lost executor loses nothing.
+
+    batch bounds the rows of an Arrow batch while df is written, so that batches of long texts fit in a worker's memory.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/folio-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(BATCH)
+    if batch and int(before) > batch:
+        spark.conf.set(BATCH, str(batch))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(BATCH, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folio_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._folio_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds the rows of an Arrow batch, so that batches of long texts fit in a worker's memory."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Bounds the rows of an Arrow batch for a result that is computed when it is read; staged() needs no lasting change."""
+    if int(spark.conf.get(BATCH)) > rows:
+        spark.conf.set(BATCH, str(rows))
+
+
+def heavy_keys(counts: DataFrame, keys: list[str], total: int, n: str = "n") -> DataFrame:
+    """keys, parts: the keys of counts(keys, n) that have over a quarter of a partition's share of `total` rows, and the parts to deal them into.
+
+    There are at most 4 x shuffle partitions of them, whatever the data, so that they may be broadcast.
+    """
+    limit = max(1, total // (4 * int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return counts.where(F.col(n) > limit).select(*keys, F.ceil(F.col(n) / limit).cast("int").alias("parts"))
+
+
+def spread_join(big: DataFrame, small: DataFrame, keys: list[str], heavy: DataFrame | None = None, by=None, how: str = "inner") -> DataFrame:
+    """big joined to small, which has one row a key; rows of a heavy key are dealt into parts, and its small row goes to each part.
+
+    Keys match where both are null. heavy: heavy_keys() of big, counted here if not given. by: what deals a key's rows, the
+    same whenever a task runs again: a hash of the whole row, or a row number where big is a staged table and rows may be equal.
+    """
+    names = [f"_k{i}" for i in range(len(keys))]
+    if heavy is None:
+        heavy = heavy_keys(big.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), keys, big.count())
+    heavy = F.broadcast(heavy.toDF(*names, "_parts"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(x)) for k, x in zip(keys, names)])
+    left = big.join(heavy, same, "left").withColumn("_part", F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*big.columns) if by is None else by, F.col("_parts").cast("long"))).cast("int")).drop(*names, "_parts")
+    right = small.join(heavy, same, "left").withColumn("_of", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop(*names, "_parts")
+    right = right.withColumnsRenamed(dict(zip(keys, names)))
+    return left.join(right, [F.col(k).eqNullSafe(F.col(x)) for k, x in zip(keys, names)] + [F.col("_part") == F.col("_of")], how).drop(*names, "_part", "_of")
 
 
 def ascii_lower(text):
@@ -100,25 +154,29 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, comp) of every vertex of edges(a, b): comp is the smallest id of its component.
 
     Alternates large-star and small-star rounds; no vertex's neighbours are gathered, every round is a min aggregate
-    and a join, and each round's edges are written to the shared folder. Ends when a round changes nothing.
+    and a join in which the rows of a vertex of many edges are dealt into parts, and each round's edges are written to the
+    shared folder in place of the last round's. Ends when a round changes nothing.
     """
+
+    def mark(x):
+        return x.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+
     e = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    seen = mark(e)
     for _ in range(rounds):
+        total = seen[0]
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        root = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(root, "u")
-        after = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        after = staged(after, "edges")
-        mark = lambda x: x.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark(after) == mark(e):
+        least = staged(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "least")
+        large = spread_join(both, least.select("u", F.least("u", "m").alias("m")), ["u"], heavy_keys(least, ["u"], 2 * total))
+        large = staged(large.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+        root = staged(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "root")
+        small = spread_join(large, root.select("u", "m"), ["u"], heavy_keys(root, ["u"], total))
+        after = staged(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(root.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
+        discard(e, least, large, root)
+        e, last, seen = after, seen, mark(after)
+        if seen == last:
             break
-        e = after
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return e.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("id"), F.col("m").alias("comp")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("comp"))).groupBy("id").agg(F.min("comp").alias("comp"))
 
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

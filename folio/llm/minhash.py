@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, flat, hashed, mix, shingles, small_batches, staged, table, words_of
+from .common import components, discard, flat, hashed, heavy_keys, mix, shingles, spread_join, staged, table, words_of
 
 WIDTH, SIMILARITY, BANDS, ROWS, TILE = 5, 0.8, 26, 5, 512
 #: Estimates below the threshold by more than this (6 standard deviations at 130 slots) are not followed; at similarity 0.8 that is 2 pairs in 10^8.
@@ -191,16 +191,16 @@ def _links(floor: float, similarity: float):
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, tile: int = TILE) -> DataFrame:
     """doc_id, class_id, copies_of (the smallest doc_id of equal words), kept of every row of docs(doc_id, text)."""
-    spark = docs.sparkSession
-    small_batches(spark, 250)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     real = docs.where("text is not null and doc_id is not null")
     worded = lambda d: d.select("doc_id", hashed(words_of(F.col("text"))).alias("w"))
-    sketch = staged(worded(real).mapInArrow(_sketch(width, bands, rows), SKETCH), "sketch")
-    # a doc_id may stand in several rows of different texts: classes have ids of their own, and are joined by the text's key
-    reps = staged(sketch.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc")).withColumn("id", F.monotonically_increasing_id()), "reps")
-    first = sketch.join(reps.select(F.col("k1").alias("x1"), F.col("k2").alias("x2"), "doc", "id"), (F.col("k1") == F.col("x1")) & (F.col("k2") == F.col("x2")) & (F.col("doc_id") == F.col("doc"))).where("size > 0")
-    banded = staged(first.dropDuplicates(["id"]).select("id", F.explode("bands").alias("bucket")), "bands")
+    sketch = staged(worded(real).mapInArrow(_sketch(width, bands, rows), SKETCH), "sketch", 250)
+    # a doc_id may stand in several rows of different texts: classes have ids of their own, and are joined by the text's key;
+    # rows of equal words have equal sketches, so a map-side aggregate takes one of them
+    same = sketch.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("size", "bands", "sig")])
+    first = staged(same.withColumn("id", F.monotonically_increasing_id()), "first")
+    reps = first.select("k1", "k2", "doc", "n", "id")
+    banded = staged(first.where("size > 0").select("id", F.explode("bands").alias("bucket")), "bands")
     full = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = staged(banded.join(full, "bucket"), "shared")
     score = shared.groupBy("id").agg(F.sum("n").alias("score"))
@@ -210,7 +210,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIM
     wanted = staged(reps.join(score.select("id"), "id"), "wanted")
     texts = worded(real.join(wanted.select(F.col("doc").alias("doc_id")).hint("merge"), "doc_id", "left_semi"))
     bags = texts.mapInArrow(_bags(width), "k1 long, k2 long, bag array<long>").dropDuplicates(["k1", "k2"])
-    bags = staged(bags.join(wanted.select("k1", "k2", "id"), ["k1", "k2"]).select("id", "bag"), "bags")
+    bags = staged(bags.join(wanted.select("k1", "k2", "id"), ["k1", "k2"]).select("id", "bag"), "bags", 250)
+    discard(banded, wanted)
 
     def verified(pairs: DataFrame) -> DataFrame:
         x = pairs.join(bags.select(F.col("id").alias("a"), F.col("bag").alias("x")), "a").join(bags.select(F.col("id").alias("b"), F.col("bag").alias("y")), "b")
@@ -228,10 +229,12 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIM
     rest = rest.select("bucket", F.least("part", "q").alias("pa"), F.greatest("part", "q").alias("pb"), (F.col("part") <= F.col("q")).alias("left"), (F.col("part") == F.col("q")).alias("within"), "id", "comp", "size", "sig", "bag")
     more = staged(rest.groupBy("bucket", "pa", "pb", "within").applyInArrow(_links(similarity - MARGIN, similarity), "a long, b long"), "links")
     comp = staged(components(links.unionByName(more)), "comp")
+    discard(shared, bags, links, more)
     of = reps.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     least = of.groupBy("comp").agg(F.min("doc").alias("class_id"))
     of = of.join(least, "comp").select("k1", "k2", F.col("doc").alias("copies_of"), "class_id")
-    known = sketch.join(of, ["k1", "k2"]).select("doc_id", "class_id", "copies_of")
+    heavy = heavy_keys(reps, ["k1", "k2"], sketch.count())
+    known = spread_join(sketch.select("k1", "k2", "doc_id"), of, ["k1", "k2"], heavy, F.monotonically_increasing_id()).select("doc_id", "class_id", "copies_of")
     lone = docs.where("text is null or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copies_of"))
     return known.unionByName(lone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
 
