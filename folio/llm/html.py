@@ -2,9 +2,10 @@
 
 Each page becomes a tree of its block elements, runs of like siblings merged, and a list of text blocks with their node. Pages
 of a host are counted per distinct tree, with whether each node's text is the same on all of them; that is a map-side
-aggregate, so a host with a third of all pages is no hot group. Per host the trees, of any size, are aligned with the commonest
-one by simple tree matching (the largest order-keeping match, by dynamic programming); nodes without a partner are known by
-their parent's and their own key. A node is template if its text is the same on all pages that have it, and those pages differ
+aggregate, so a host with a third of all pages is no hot group. The host's commonest tree goes to its other trees, which may be
+as many as its pages, dealt into parts; there each tree, of any size, is aligned with it on its own by simple tree matching (the
+largest order-keeping match, by dynamic programming). Nodes without a partner are known by their parent's name and their own
+key. What the host's trees say of a node of one name meets in an aggregate and goes back to the trees that have it. A node is template if its text is the same on all pages that have it, and those pages differ
 elsewhere; the others are slots. A page's content is its slots. An article or main element is evidence only: inside one, template
 also takes three pages and half of the host's, so that copies of an article stay. Where no text of a page is seen to vary (hosts
 of one page or of copies), the page's article or main element is its content, or else all its text.
@@ -13,8 +14,9 @@ Menus, footers, scripts and the like, by element name, are never content. Words
 it goes unless it holds an article or main element or over half of the page's varying text, or lies where most of that text
 lies and has varying text itself.
 
-Defined results: null html is the empty page with empty text; a page cut off in a tag loses that tag only; a null url is a
-host of its own; repeated rows each give a row; extra columns are ignored.
+Defined results: null html is the empty page with empty text; a page cut off in a tag, also in a quoted value, loses that tag
+only; a quoted value that never ends goes to the next ">"; pages without url are one host; repeated rows, also of one page_id,
+each give a row; a null page_id is kept; extra columns, whatever their names, are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, staged, table
+from .common import discard, heavy_keys, spread_join, staged, table
 
 #: Element names by role (fixed values).
 INLINE = set("a abbr acronym b bdi bdo big br cite code data dfn em font i img ins kbd label mark meter noscript output picture q ruby rb rt rp s samp small source span strike strong sub sup time tt u var wbr del nobr".split())
@@ -40,7 +42,7 @@ BOILER = set("head nav footer aside form script style title textarea button sele
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 HINT = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|sidebar|side|menu|nav\w*|breadcrumbs?|footer|header|masthead|cookies?|consent|notice|popup|modal|overlay|comments?|replies|respond|disqus|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|toolbar|widget)(?:$|[\s_-])", re.I)
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(?:>|\Z)", re.S)
 ATTR = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 SPACE = re.compile(r"\s+")
 
@@ -315,59 +317,82 @@ def _content(nodes, names, constant, varied, chars):
     return [k for k in free if root[k] >= 0] or free
 
 
-def _induce(t):
-    """Per tree of one host, the nodes that are content."""
-    rows = t.sort_by([("pages", "descending"), ("tree", "ascending")]).to_pylist()
-    first = json.loads(rows[0]["shape"])
-    stats: dict = {}  # name of a node to [low, high, lowest and highest page, pages, characters]
-    named: dict = {}  # a node's partner in the commonest tree, or (parent's name, key), to its name
-    maps = []
-    for r in rows:
-        nodes = json.loads(r["shape"])
-        to = match(first, nodes)
-        names: list[int] = []
-        for k, (parent, key, _) in enumerate(nodes):
-            what = to[k] if k in to else (names[parent], key)
-            names.append(named.setdefault(what, len(named)))
-        seen = set()
-        for k, name in enumerate(names):
-            s = stats.setdefault(name, [r["low"][k], r["high"][k], r["least"], r["most"], 0, 0])
-            s[0], s[1] = min(s[0], r["low"][k]), max(s[1], r["high"][k])
-            s[2], s[3] = min(s[2], r["least"]), max(s[3], r["most"])
-            s[4] += 0 if name in seen else r["pages"]
-            s[5] += r["chars"][k]
-            seen.add(name)
-        maps.append(names)
-    pages = sum(r["pages"] for r in rows)
-
-    def constant(name, in_article):
-        low, high, least, most, n, _ = stats[name]
-        return low == high and least != most and (not in_article or n >= 3 and 2 * n >= pages)
-
-    def varied(name):
-        low, high, least, most, _, chars = stats[name]
-        return low != high and least != most and chars > 0
-
-    out = [_content(json.loads(r["shape"]), names, constant, varied, lambda name: stats[name][5] / stats[name][4]) for r, names in zip(rows, maps)]
-    return pa.table({"host": pa.array([r["host"] for r in rows]), "tree": pa.array([r["tree"] for r in rows]), "content": pa.array(out, pa.list_(pa.int32()))})
-
-
-def wrappers(parsed: DataFrame) -> DataFrame:
-    """(host, tree, content nodes) from all pages; a host's group holds its distinct trees, not its pages."""
+def named(first, nodes) -> list[int]:
+    """A name for each node: its partner's place in the host's commonest tree, or else a hash of its parent's name and its own key."""
+    to, names = match(first, nodes), []
+    for k, (parent, key, _) in enumerate(nodes):
+        names.append(to[k] if k in to else 1 << 56 | int.from_bytes(digest(f"{names[parent]} {key}", 7)))
+    return names
+
+
+def _align(batches):
+    """Of each tree its nodes' names, and of each name in it the least and greatest text sums and the characters."""
+    for b in batches:
+        out = defaultdict(list)
+        for top, shape, low, high, chars in zip(*(b.column(c).to_pylist() for c in ("top", "shape", "low", "high", "chars"))):
+            names = named(json.loads(top), json.loads(shape))
+            own: dict = {}
+            for k, name in enumerate(names):
+                x = own.setdefault(name, [low[k], high[k], 0])
+                own[name] = [min(x[0], low[k]), max(x[1], high[k]), x[2] + chars[k]]
+            out["names"].append(names)
+            out["name"].append(list(own))
+            for i, c in enumerate(("lo", "hi", "sum")):
+                out[c].append([x[i] for x in own.values()])
+        kept = ["host", "tree", "shape", "pages", "least", "most", "total"]
+        yield pa.RecordBatch.from_arrays([b.column(c) for c in kept] + [pa.array(out[c], pa.list_(pa.int64())) for c in ("names", "name", "lo", "hi", "sum")], [*kept, "names", "name", "lo", "hi", "sum"])
+
+
+ALIGNED = "host string, tree string, shape string, pages long, least long, most long, total long, names array<long>, name array<long>, lo array<long>, hi array<long>, sum array<long>"
+
+
+def _decide(batches):
+    """The content nodes of each tree, by what its host's trees say of its nodes' names."""
+    for b in batches:
+        out = []
+        for shape, names, said in zip(*(b.column(c).to_pylist() for c in ("shape", "names", "said"))):
+            of = {x["name"]: x for x in said}
+            out.append(_content(json.loads(shape), names, lambda n, within: of[n]["same"] and (not within or of[n]["common"]), lambda n: of[n]["varied"], lambda n: of[n]["chars"]))
+        yield pa.RecordBatch.from_arrays([b.column("host"), b.column("tree"), pa.array(out, pa.list_(pa.int32()))], ["host", "tree", "content"])
+
+
+def wrappers(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(host, tree, content nodes) and (host, tree, pages); no host's trees are gathered, each is aligned and decided on its own."""
     each = parsed.select("host", "tree", F.posexplode(F.arrays_zip("sums", "chars")).alias("k", "x"))
     sums = each.groupBy("host", "tree", "k").agg(F.min("x.sums").alias("low"), F.max("x.sums").alias("high"), F.sum(F.col("x.chars").cast("long")).alias("chars"))
     sums = sums.groupBy("host", "tree").agg(F.array_sort(F.collect_list(F.struct("k", "low", "high", "chars"))).alias("x")).select("host", "tree", F.col("x.low").alias("low"), F.col("x.high").alias("high"), F.col("x.chars").alias("chars"))
     trees = parsed.groupBy("host", "tree").agg(F.first("shape").alias("shape"), F.count(F.lit(1)).alias("pages"), F.min("said").alias("least"), F.max("said").alias("most"))
-    return trees.join(sums, ["host", "tree"]).groupBy("host").applyInArrow(_induce, "host string, tree string, content array<int>")
-
-
-def extract(pages: DataFrame, most_broadcast: int = 200_000) -> DataFrame:
+    trees = staged(trees.join(sums, ["host", "tree"]), "trees")
+    tops = trees.groupBy("host").agg(F.min_by("shape", F.struct(-F.col("pages"), "tree")).alias("top"), F.sum("pages").alias("total"), F.count(F.lit(1)).alias("n"))
+    tops = staged(tops, "tops")
+    heavy = heavy_keys(tops, ["host"], trees.count())
+    aligned = staged(spread_join(trees, tops.drop("n"), ["host"], heavy, F.xxhash64("tree")).mapInArrow(_align, ALIGNED), "aligned", 250)
+    votes = aligned.select("host", "pages", "least", "most", "total", F.explode(F.arrays_zip("name", "lo", "hi", "sum")).alias("x")).select("*", "x.*")
+    votes = votes.groupBy("host", "name").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("least").alias("least"), F.max("most").alias("most"), F.sum("pages").alias("pages"), F.sum("sum").alias("chars"), F.max("total").alias("total"), F.count(F.lit(1)).alias("n"))
+    differ = F.col("least") != F.col("most")  # the host's pages that have the node differ somewhere
+    votes = staged(votes.select(
+        "host", "name", "n", ((F.col("lo") == F.col("hi")) & differ).alias("same"), ((F.col("pages") >= 3) & (2 * F.col("pages") >= F.col("total"))).alias("common"),
+        ((F.col("lo") != F.col("hi")) & differ & (F.col("chars") > 0)).alias("varied"), (F.col("chars") / F.col("pages")).alias("chars")), "votes")
+    asked = aligned.select("host", "tree", F.explode("name").alias("name"))
+    said = spread_join(asked, votes.drop("n"), ["host", "name"], heavy_keys(votes, ["host", "name"], asked.count()))
+    said = said.groupBy("host", "tree").agg(F.collect_list(F.struct("name", "same", "common", "varied", "chars")).alias("said"))
+    rules = staged(aligned.select("host", "tree", "shape", "names").join(said, ["host", "tree"]).mapInArrow(_decide, "host string, tree string, content array<int>"), "wrappers", 250)
+    discard(tops, aligned, votes)
+    return rules, trees.select("host", "tree", "pages")
+
+
+def extract(pages: DataFrame, most_broadcast: int = 2_000_000) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages(page_id, url, html)."""
-    small_batches(pages.sparkSession)
-    parsed = staged(pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(_parse, PARSED), "pages")
-    rules = staged(wrappers(parsed), "wrappers")
-    few = rules.count() <= most_broadcast  # a few dozen bytes each; beyond that the join is shuffled
-    picked = parsed.select("page_id", "url", "host", "tree", "at", "block").join(F.broadcast(rules) if few else rules, ["host", "tree"], "left")
+    parsed = staged(pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(_parse, PARSED), "pages", 1000)
+    rules, trees = wrappers(parsed)
+    n = rules.agg(F.sum(F.lit(30) + F.size("content"))).first()[0] or 0  # numbers in the table: beyond most_broadcast the join is shuffled
+    keys = ["host", "tree"]
+    given = parsed.select("page_id", "url", "host", "tree", "at", "block")
+    if n <= most_broadcast:
+        picked = given.join(F.broadcast(rules), keys, "left")
+    else:
+        heavy = heavy_keys(trees, keys, parsed.count(), "pages")
+        picked = spread_join(given, rules, keys, heavy, F.monotonically_increasing_id(), "left")
     chosen = F.filter("block", lambda x, i: F.array_contains("content", F.col("at")[i]))
     return picked.select("page_id", "url", F.coalesce(F.array_join(chosen, "\n"), F.lit("")).alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
