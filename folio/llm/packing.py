@@ -1,9 +1,10 @@
 """Packing: first-fit decreasing over a tournament tree of bin capacities, in randomised groups of documents.
 
-Every document is tokenised once and cut into full sequences and a rest. Full pieces are sequences of their own; rests and
-short documents are dealt into random groups of bounded expected size, and each group is packed on its own: pieces in order
-of falling length, each into the first bin with room, found in O(log n) in a tournament tree whose inner nodes hold the most
-room below them. Groups share nothing, so a lost executor repeats its own groups only.
+Every document is tokenised once and cut into full sequences and a rest. Full pieces are sequences of their own and meet no
+tree; they are numbered where they are. Rests and short documents, at most one a document, are dealt into random groups of
+bounded expected size, and each group is packed on its own: pieces in order of falling length, each into the first bin with
+room, found in O(log n) in a tournament tree whose inner nodes hold the most room below them. Groups share nothing, so a lost
+executor repeats its own groups only.
 
 Defined results: null text is the empty text; the empty text is the one end token; repeated rows each give their pieces;
 ties in length are broken by a hash, then by document; extra columns are ignored; an empty table gives no rows.
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import ODD, special_pattern, splitter
-from .common import small_batches, table
+from .common import staged, table
 
 #: The byte-level pre-tokenizer's pattern over texts of the plain range (fixed value).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\t-\r \x{85}\x{A0}\p{L}\p{N}]+|[\t-\r \x{85}\x{A0}]+(?![^\t-\r \x{85}\x{A0}])|[\t-\r \x{85}\x{A0}]+"
@@ -99,17 +100,26 @@ def _pieces(path: str, capacity: int, end: int, limit: int):
                 col = pa.array([s.words(t) if t is not None else w for t, w in zip(odd, col.to_pylist())], pa.list_(pa.string()))
             off = col.offsets.to_numpy().astype(np.int64)
             enc = col.values.slice(off[0], off[-1] - off[0]).dictionary_encode()
-            off -= off[0]
+            off = off - off[0]
             codes = known.codes(enc.dictionary.to_pylist())[enc.indices.to_numpy()] if len(enc) else np.zeros(0, np.int64)
-            out = [[], [], [], [], []]
-            for i, d in enumerate(b.column("doc_id").to_pylist()):
-                ids = np.append(known.gather(codes[off[i] : off[i + 1]]), np.uint32(end)).astype("<u4")
-                for a in range(0, len(ids), capacity):
-                    piece = ids[a : a + capacity]
-                    for k, v in enumerate((d, a, len(piece), zlib.crc32(piece.tobytes()), len(ids))):
-                        out[k].append(v)
-            n = len(out[0])
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out] + [pa.array(np.random.default_rng(n).integers(0, 2**62, n) ^ np.array(out[3], np.int64) * 2654435761 % 2**62, pa.int64())], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "key"])
+            # all ids of the batch in a row, each document's followed by the end token
+            n = b.num_rows
+            count = np.add.reduceat(np.append(known.size[codes], 0), off[:-1]) * (np.diff(off) > 0) if n else np.zeros(0, np.int64)
+            ends = np.cumsum(count + 1)
+            ids = np.full(int(ends[-1]) if n else 0, end, "<u4")
+            own = np.ones(len(ids), bool)
+            own[ends - 1] = False
+            ids[own] = known.gather(codes)
+            each = -(-(count + 1) // capacity)
+            row = np.repeat(np.arange(n), each)
+            start = (np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)) * capacity
+            total = (count + 1)[row]
+            length = np.minimum(capacity, total - start)
+            lo = (ends - count - 1)[row] + start
+            view = memoryview(ids).cast("B")
+            crc = np.array([zlib.crc32(view[4 * x : 4 * (x + m)]) for x, m in zip(lo.tolist(), length.tolist())], np.int64)
+            key = np.random.default_rng(len(row)).integers(0, 2**62, len(row)) ^ crc * 2654435761 % 2**62
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row)), *(pa.array(x, pa.int64()) for x in (start, length, crc, total, key))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "key"])
 
     return run
 
@@ -129,15 +139,17 @@ def _pack(capacity: int):
 
 def pack(docs: DataFrame, path: str, capacity: int = 2048, end: int = 1, group_rows: int = 16_384, known_words: int = 400_000) -> DataFrame:
     """One row per piece of every row of docs(doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    spark = docs.sparkSession
-    small_batches(spark)
     text = F.coalesce(F.col("text"), F.lit(""))
     odd = text.rlike(ODD) | text.rlike(special_pattern(path))
     given = docs.select(F.col("doc_id").cast("long"), F.when(odd, text).alias("odd"), F.when(odd, F.array().cast("array<string>")).otherwise(F.regexp_extract_all(text, F.lit(SPLIT), F.lit(0))).alias("words"))
-    pieces = given.mapInArrow(_pieces(path, capacity, end, known_words), SCHEMA)
-    groups = max(1, -(-docs.count() // group_rows))
-    dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64("key", "doc_id", "start"), F.lit(groups)))
-    return dealt.groupBy("pack_group").applyInArrow(_pack(capacity), OUT)
+    pieces = staged(given.mapInArrow(_pieces(path, capacity, end, known_words), SCHEMA), "pieces", 1000)  # six numbers a piece
+    full = pieces.where(F.col("length") == capacity)
+    # group numbers take the bits from 32 on, row numbers of full pieces those below 2^62
+    full = full.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.lit(1 << 62) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rest = pieces.where(F.col("length") < capacity)
+    groups = max(1, -(-rest.count() // group_rows))
+    dealt = rest.withColumn("pack_group", F.pmod(F.xxhash64("key", "doc_id", "start"), F.lit(groups)))
+    return dealt.groupBy("pack_group").applyInArrow(_pack(capacity), OUT).unionByName(full)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,10 @@ shrinkage, so most weights are exactly zero. The shards' weights are averaged; w
 weights, at most 2^bits of them. Scoring reads every whole text once and shuffles nothing.
 
 Defined results: null text is the empty text; a text without words gets the intercept's score; a null doc_id counts as the
-text "null" for the fold; documents labelled more than once count with their highest label; without any training row every
-score is 0 (weights zero would say 0.5, which is no evidence of toxicity); repeated rows score alike; extra columns are ignored.
+text "null" for the fold and has no label; documents labelled more than once count with their highest label; a labelled doc_id
+that stands in several rows trains with one text (the least), so that the bound holds for rows whatever the copies; without any
+training row every score is 0 (weights zero would say 0.5, which is no evidence of toxicity); repeated rows score alike; an empty
+table gives no rows; extra columns are ignored by the query and kept by scored() and accepted().
 """
 
 from __future__ import annotations
@@ -124,7 +126,9 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, most_rows: int =
     total = known.count()
     if total > most_rows:  # a threshold of the hash, so that the bound needs no sort of all labels
         known = known.where(F.pmod(spread, F.lit(1 << 30)) < F.lit(int((1 << 30) * (most_rows / total))))
-    picked = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "toxic", words_of(F.col("text")).alias("h"), spread.alias("k"))
+    # at most about most_rows labels, a few bytes each; of the copies of a labelled doc_id one text stays, combined before the shuffle
+    picked = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.max("toxic").alias("toxic"))
+    picked = picked.select("doc_id", "toxic", words_of(F.col("text")).alias("h"), spread.alias("k"))
     parts = picked.withColumn("shard", F.pmod("k", F.lit(shards))).groupBy("shard").applyInArrow(_train(bits, epochs), "slot long, w double")
     found = parts.groupBy("slot").agg((F.sum("w") / shards).alias("w")).toPandas()
     return found["slot"].to_numpy(np.int64), found["w"].to_numpy(float)
@@ -145,13 +149,25 @@ def _score(model, bits: int):
     return run
 
 
-def scored(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], bits: int = BITS) -> DataFrame:
-    """docs (any columns, among them text) with score; a column score of docs itself is replaced."""
+def scored(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], bits: int = BITS, name: str = "score") -> DataFrame:
+    """docs (any columns, among them text) with the score under `name`; a column of docs of that name is returned as given_<name>."""
+    if name in docs.columns:
+        other = f"given_{name}"
+        while other in docs.columns:
+            other = f"given_{other}"
+        docs = docs.withColumnRenamed(name, other)
     small_batches(docs.sparkSession, 250)
     model = docs.sparkSession.sparkContext.broadcast(weights)
-    docs = docs.drop("score")
-    given = docs.select("*", words_of(F.col("text")).alias("score"))  # the words, in the place that the score takes
-    return given.mapInArrow(_score(model, bits), T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    given = docs.select("*", words_of(F.col("text")).alias(name))  # the words, in the place that the score takes
+    return given.mapInArrow(_score(model, bits), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, cutoff: float = 0.5) -> DataFrame:
+    """The rows of docs scored below cutoff by a model trained on the labelled ones among them; docs' own columns, a column score among them."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    given = docs.toDF(*names).withColumnRenamed(names[docs.columns.index("text")], "text")
+    out = scored(given, train(docs, labels)).where(F.col("score") < cutoff).drop("score")
+    return out.toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
