@@ -1,9 +1,16 @@
-"""The corpus pipeline: quality rules, toxicity, near-duplicates, packing; each stage's rows are written and read by the next."""
+"""The corpus pipeline: quality rules, toxicity, near-duplicates, packing; each stage's rows are written and read by the next.
+
+Every stage but the last returns whole rows of its input with all its columns, extra ones and ones named like a stage's own
+(score, kept, n_words, row) too. Null text: the quality rules reject it. Null doc_id: kept by quality (without a label) and
+toxicity (fold of the text "null", no label), judged by its text in near-duplicates like any row, packed under a null doc_id.
+Repeated rows: judged alike by the first two stages; of equal texts near-duplicates keep the first in reading order, which is
+also how ties are decided; packing gives every row its pieces. An empty table: every stage returns no rows. Nulls in other
+columns stay as they are; a null lang is a stratum of its own in the quality rules.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from folio.llm import minhash, packing, quality, toxicity
 from folio.llm.common import staged, table
@@ -16,8 +23,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents scored below 0.5 by a model trained on the labelled ones among them."""
-    weights = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, weights).where("score < 0.5").drop("score")
+    return toxicity.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +39,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 STAGES = [("quality", quality_stage), ("toxicity", toxicity_stage), ("near_dedup", dedup_stage), ("packing", packing_stage)]
-#: A trained model and a tokenizer library can't be expressed in SQL; tests/llm tests the operators one by one, and of the whole that stages keep whole rows and packing covers them.
+#: A trained model and a tokenizer library can't be expressed in SQL; tests/llm holds the stages against a brute-force pipeline.
 ORACLE_SQL = None
 
 
