@@ -189,8 +189,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = """
-WITH v AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS norm FROM embeddings),
+WITH RECURSIVE v AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS norm FROM embeddings),
 o AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / norm) AS u FROM v WHERE isfinite(norm) AND norm > 0),
-l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM o a, o b WHERE a.vec_id <> b.vec_id AND list_dot_product(a.u, b.u) >= 0.9)
-SELECT vec_id, (SELECT count(*) FROM l WHERE a = vec_id) AS n_links FROM v
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM o a, o b WHERE a.vec_id <> b.vec_id AND list_dot_product(a.u, b.u) >= 0.9),
+r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT vec_id, (SELECT count(*) FROM l WHERE a = vec_id) AS n_links, (SELECT min(b) FROM r WHERE a = vec_id) AS component_id, (SELECT min(b) FROM r WHERE a = vec_id) = vec_id AS kept FROM v
 """

@@ -13,10 +13,12 @@ there; repeated rows are judged alike; an empty table gives no rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import spread_join, staged, table
 
 ALPHA, DELTA = 0.05, 0.05
 #: Cutoffs tried for every measure, per thousand (fixed values).
@@ -96,20 +98,23 @@ def thresholds(counts: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta
     return good.groupBy("lang", "measure").agg(F.max_by("cutoff", F.struct(F.col("caught") - F.col("k"), "cutoff")).alias("cutoff"))
 
 
-def judged(docs: DataFrame, cutoffs: list, most: int = 10_000) -> DataFrame:
-    """measured() docs with kept; cutoffs: the rows of thresholds(), a few per stratum, collected (at most `most`)."""
-    if len(cutoffs) > most:
-        raise ValueError(f"{len(cutoffs)} cutoffs: strata are meant to be few")
-    fails = F.lit(False)
-    for c in cutoffs:
-        fails = fails | (F.col("lang").eqNullSafe(F.lit(c["lang"])) & (_rate(c["measure"]) > F.lit(c["cutoff"])))
-    return docs.withColumn("kept", ~F.col("base_failed") & ~fails)
+def judged(docs: DataFrame, cutoffs: DataFrame, most_broadcast: int = 200_000) -> DataFrame:
+    """measured() docs with kept; cutoffs: thresholds(), one row a stratum here, joined by lang."""
+    at = cutoffs.groupBy("lang").agg(*[F.max(F.when(F.col("measure") == m, F.col("cutoff"))).alias(f"_at_{m}") for m in MEASURES])
+    at = staged(at, "cutoffs")
+    if at.count() <= most_broadcast:  # eight numbers and a name each
+        at = at.withColumnRenamed("lang", "_lang")
+        wide = docs.join(F.broadcast(at), F.col("lang").eqNullSafe(F.col("_lang")), "left").drop("_lang")
+    else:
+        wide = spread_join(docs, at, ["lang"], by=F.monotonically_increasing_id(), how="left")
+    fails = [F.coalesce(_rate(m) > F.col(f"_at_{m}"), F.lit(False)) for m in MEASURES]
+    return wide.withColumn("kept", ~F.col("base_failed") & ~reduce(lambda a, b: a | b, fails)).drop(*[f"_at_{m}" for m in MEASURES])
 
 
 def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, the counts, base_failed and kept of every row of docs(doc_id, text, lang)."""
     counts = staged(measured(docs.select("doc_id", "lang", "text")).drop("text"), "quality")
-    return judged(counts, thresholds(counts, labels).collect())
+    return judged(counts, thresholds(counts, labels))
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -120,8 +125,7 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     wide = same.withColumns({c: F.col(at[c]) for c in ("doc_id", "lang", "text")})
     # the rows are written with their measures, which both the thresholds and the verdicts read: every text is measured once
     rows = staged(measured(wide).drop("text"), "quality")
-    cut = thresholds(rows, labels).collect()
-    return judged(rows, cut).where("kept").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
+    return judged(rows, thresholds(rows, labels)).where("kept").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,5 +16,5 @@ QUERIES = {
     "op9_packing": packing.query,
     "op10_html": html.query,
 }
-#: The rest (models, signatures, tokenizers, components, trees, checksums) is tested against brute force in tests/llm.
-ORACLES = {"op2_licenses": licenses.ORACLE, "op3_chat": chat.ORACLE, "op5_quality": quality.ORACLE}
+#: The rest (a model, signatures, tokenizers, trees) is tested against brute force in tests/llm.
+ORACLES = {"op2_licenses": licenses.ORACLE, "op3_chat": chat.ORACLE, "op4_sharding": sharding.ORACLE, "op5_quality": quality.ORACLE, "op7_embeddings": embeddings.ORACLE}
