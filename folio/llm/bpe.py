@@ -7,13 +7,15 @@ positions, and decode through the id-to-piece table, whose size is the vocabular
 indices are shuffled, never one row per word.
 
 Defined results: null text is the empty text; the empty text has no ids and decodes to the empty string; repeated rows each
-give a row; extra columns are ignored; a special token's string in a text gives that token's id, as in the library.
+give a row; extra columns are ignored; a special token's string in a text gives that token's id, as in the library; a null doc_id
+is kept; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import math
 import re
 from functools import lru_cache
 
@@ -23,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, staged, table
+from .common import staged, table
 
 #: Texts beyond this range (and with the dotted capital I) are split by the library itself, so that no difference between Unicode tables of two regex engines counts.
 ODD = r"[^\x{0}-\x{24F}]|\x{130}"
@@ -70,14 +72,6 @@ def special_pattern(path: str) -> str:
         return "|".join("\\Q" + x["content"] + "\\E" for x in json.load(f)["added_tokens"]) or "(?!)"
 
 
-def pieces(spark: SparkSession, path: str) -> DataFrame:
-    """The id-to-piece table: as many rows as the vocabulary has (49,408), whatever the corpus."""
-    from tokenizers import Tokenizer
-
-    vocab = Tokenizer.from_file(path).get_vocab(with_added_tokens=True)
-    return spark.createDataFrame(pa.table({"id": pa.array(list(vocab.values()), pa.int32()), "piece": pa.array(list(vocab), pa.string())}))
-
-
 def _squeeze(data: bytes) -> bytes:
     return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=6).compress(data, asbytes=True)
 
@@ -157,13 +151,18 @@ def _chunks(path: str, buckets: int, most_words: int, most_bytes: int):
 
 
 def _encode(path: str):
-    """A bucket's words: every distinct one is encoded once, and each chunk gets the ids of its words, by position."""
+    """A bucket's words: every distinct one is encoded once, and each chunk gets the ids of its words, by position.
+
+    Rows come ordered by bucket, so that the table holds one bucket's words at a time.
+    """
 
     def run(batches):
-        s, table_ = splitter(path), {}
+        s, table_, home = splitter(path), {}, None
         for b in batches:
             out = []
-            for blob in b.column("words").to_pylist():
+            for bucket, blob in zip(b.column("bucket").to_pylist(), b.column("words").to_pylist()):
+                if bucket != home:
+                    table_, home = {}, bucket
                 lengths, flat = [], []
                 for w in _open(blob).decode("utf-8", "surrogatepass").split("\n"):
                     ids = table_.get(w)
@@ -228,14 +227,14 @@ def pieces(path: str) -> list[str]:
 def encode_decode(docs: DataFrame, path: str, most_words: int = 1_000_000, most_bytes: int = 32_000_000) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of docs(doc_id, text)."""
     spark = docs.sparkSession
-    small_batches(spark)
     text = F.coalesce(F.col("text"), F.lit(""))
     odd = text.rlike(ODD) | text.rlike(special_pattern(path))
     split = F.regexp_extract_all(F.lower(text), F.lit(SPLIT), F.lit(0))
     given = docs.select(F.col("doc_id").cast("long"), F.when(odd, text).alias("odd"), F.when(odd, F.array().cast("array<string>")).otherwise(split).alias("words"))
-    buckets = min(4096, max(32, docs.count() // 4000))
-    rows = staged(given.mapInArrow(_chunks(path, buckets, most_words, most_bytes), "chunk string, doc_ids array<long>, packed binary, bucket int, words binary"), "bpe")
-    words = rows.where("bucket is not null").select("chunk", "packed", "bucket", "words").repartition(buckets, "bucket")
+    n = docs.count()
+    buckets = max(32, min(n // 4000, math.isqrt(n)))  # distinct words grow more slowly than the corpus
+    rows = staged(given.mapInArrow(_chunks(path, buckets, most_words, most_bytes), "chunk string, doc_ids array<long>, packed binary, bucket int, words binary"), "bpe", 1000)
+    words = rows.where("bucket is not null").select("chunk", "packed", "bucket", "words").repartition(buckets, "bucket").sortWithinPartitions("bucket")
     back = words.mapInArrow(_encode(path), "chunk string, places binary, lengths binary, ids binary")
     kept = rows.where("bucket is null").select(F.col("chunk").alias("part"), "doc_ids", "words", "packed")
     table_ = spark.sparkContext.broadcast(pieces(path))

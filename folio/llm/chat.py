@@ -3,13 +3,16 @@
 For every participant of a conversation (every role but system) the whole dialogue is rendered with that participant as the
 assistant, the others as users under their names, and a mask over what the assistant says. A rendering is one row per turn,
 with its text, its place in the rendered dialogue in characters and whether it is trained on; no dialogue is gathered into one
-value or one task, since a conversation may be of any length. Places are three-level running sums: over the rows of a turn,
-the turns of a block of 64, and the blocks of a conversation.
+value or one task, since a conversation may be of any length. Places are three-level running sums: over the rows of a turn
+that begin with the same digits of a checksum, such groups of a block of 64 turns, and the blocks of a conversation. There are
+as many digits as make a turn's groups, and the rows of a group, about the square root of the table at most. Equal rows are one
+row with a number until their places are known, and then spread by runs of at most 1024; rows of a turn that holds many are
+dealt into parts where they meet their group's place.
 
 Defined results: null text is the empty text; a null role is rendered as a user without name and is no participant; a null
 conversation id is a conversation of its own; null turns come first; rows of equal turn are ordered by a checksum of role and
 text; repeated rows are kept; the text's own "<|" is written "<||", so that no text can forge a marker; a conversation without
-participants gives no rows; extra columns are ignored.
+participants gives no rows; extra columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,25 +20,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import heavy_keys, spread_join, table
 
-BLOCK = 64
+BLOCK, RUN = 64, 1024
 
 
 def rotate(turns: DataFrame) -> DataFrame:
     """conv_id, perspective, turn, position, speaker, name, segment, trained, start, mask_start, mask_end."""
-    t = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("<||")).alias("body"))
+    total = max(turns.count(), 1)
+    digits = -(-(total - 1).bit_length() // 8)
+    count = F.count(F.lit(1)).alias("n")
+    turns = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    t = turns.withColumn("body", F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("<||"))).groupBy("conv_id", "turn", "role", "body").agg(F.count(F.lit(1)).alias("copies"))
+    t = t.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(RUN).cast("long")))).withColumn("k", F.least(F.lit(RUN), F.col("copies") - F.col("first"))).drop("copies")
     t = t.withColumn("sum", F.md5(F.concat(F.coalesce("role", F.lit("")), F.lit(":"), "body").cast("binary")))
-    t = t.withColumn("block", F.floor(F.col("turn") / BLOCK)).withColumn("digit", F.substring("sum", 1, 1))
-    who = turns.where("role is not null and role <> 'system'").select(F.col("conv_id").alias("c"), F.col("role").alias("perspective")).distinct()
-    r = t.join(who, t["conv_id"].eqNullSafe(who["c"])).drop("c")
+    t = t.withColumn("block", F.floor(F.col("turn") / BLOCK)).withColumn("digit", F.substring("sum", 1, max(digits, 1)))
+    who = turns.where("role is not null and role <> 'system'").select("conv_id", F.col("role").alias("perspective")).distinct()
+    r = spread_join(t, who, ["conv_id"], heavy_keys(turns.groupBy("conv_id").agg(count), ["conv_id"], total))
     own = F.col("role").eqNullSafe(F.col("perspective"))
     r = r.withColumn("speaker", F.when(own, "assistant").when(F.col("role") == "system", "system").otherwise("user"))
     r = r.withColumn("name", F.when(F.col("speaker") == "user", F.col("role")))
     head = F.concat(F.lit("<|"), F.col("speaker"), F.coalesce(F.concat(F.lit(" name="), F.col("name")), F.lit("")), F.lit("|>\n"))
-    r = r.withColumn("head", F.length(head)).withColumn("segment", F.concat(head, "body", F.lit("<|end|>\n"))).withColumn("n", F.length("segment").cast("long")).drop("body")
+    r = r.withColumn("head", F.length(head)).withColumn("segment", F.concat(head, "body", F.lit("<|end|>\n"))).withColumn("each", F.length("segment").cast("long")).withColumn("n", F.col("k") * F.col("each")).drop("body", "role")
     rows = ["conv_id", "perspective", "block", "turn", "digit"]
-    low = r.groupBy(*rows).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
+    low = r.groupBy(*rows).agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     mid = low.groupBy(*rows[:3]).agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
 
     def before(frame, keys, order, names):
@@ -45,12 +53,14 @@ def rotate(turns: DataFrame) -> DataFrame:
     mid = before(mid, rows[:2], ["block"], ("n2", "k2")).drop("n", "k")
     low = before(low, rows[:3], ["turn", "digit"], ("n1", "k1")).drop("n", "k")
     eq = lambda a, b, keys: [F.col(f"{a}.{x}").eqNullSafe(F.col(f"{b}.{x}")) for x in keys]
-    low = low.alias("a").join(mid.alias("b"), eq("a", "b", rows[:3])).select("a.*", "n2", "k2")
-    r = before(r.withColumn("k", F.lit(1)), rows, ["sum", "segment"], ("n0", "k0"))
-    r = r.alias("a").join(low.alias("b"), eq("a", "b", rows)).select("a.*", (F.col("n0") + F.col("n1") + F.col("n2")).alias("start"), (F.col("k0") + F.col("k1") + F.col("k2")).alias("position"))
+    low = low.alias("a").join(mid.alias("b"), eq("a", "b", rows[:3])).select(*[F.col(f"a.{x}") for x in rows], (F.col("n1") + F.col("n2")).alias("n1"), (F.col("k1") + F.col("k2")).alias("k1"))
+    r = before(r, rows, ["sum", "segment", "first"], ("n0", "k0"))
+    heavy = heavy_keys(turns.groupBy("conv_id", "turn").agg(count), ["conv_id", "turn"], total)
+    r = spread_join(r, low, rows, heavy, F.xxhash64("sum", "first")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    r = r.withColumn("start", F.col("n0") + F.col("n1") + F.col("i") * F.col("each")).withColumn("position", F.col("k0") + F.col("k1") + F.col("i"))
     trained = F.col("speaker") == "assistant"
     return r.select("conv_id", "perspective", "turn", "position", "speaker", "name", "segment", trained.alias("trained"), "start",
-                    F.when(trained, F.col("start") + F.col("head")).alias("mask_start"), F.when(trained, F.col("start") + F.col("n") - 1).alias("mask_end"))
+                    F.when(trained, F.col("start") + F.col("head")).alias("mask_start"), F.when(trained, F.col("start") + F.col("each") - 1).alias("mask_end"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

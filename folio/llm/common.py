@@ -81,20 +81,21 @@ def heavy_keys(counts: DataFrame, keys: list[str], total: int, n: str = "n") ->
 
 
 def spread_join(big: DataFrame, small: DataFrame, keys: list[str], heavy: DataFrame | None = None, by=None, how: str = "inner") -> DataFrame:
-    """big joined to small, which has one row a key; rows of a heavy key are dealt into parts, and its small row goes to each part.
+    """big joined to small on keys, null to null; rows of a heavy key are dealt into parts, and its small rows, which are few, go to each part.
 
-    Keys match where both are null. heavy: heavy_keys() of big, counted here if not given. by: what deals a key's rows, the
-    same whenever a task runs again: a hash of the whole row, or a row number where big is a staged table and rows may be equal.
+    heavy: heavy_keys() by some of the keys, those of big counted here if not given. by: what deals a key's rows, the same
+    whenever a task runs again: a hash of the whole row, or a row number where big is a staged table and rows may be equal.
     """
-    names = [f"_k{i}" for i in range(len(keys))]
     if heavy is None:
         heavy = heavy_keys(big.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), keys, big.count())
-    heavy = F.broadcast(heavy.toDF(*names, "_parts"))
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(x)) for k, x in zip(keys, names)])
-    left = big.join(heavy, same, "left").withColumn("_part", F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*big.columns) if by is None else by, F.col("_parts").cast("long"))).cast("int")).drop(*names, "_parts")
-    right = small.join(heavy, same, "left").withColumn("_of", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop(*names, "_parts")
+    hot = heavy.columns[:-1]
+    heavy = F.broadcast(heavy.toDF(*[f"_h{i}" for i in range(len(hot))], "_parts"))
+    every = lambda pairs: reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(y)) for x, y in pairs])
+    same, names = every(zip(hot, heavy.columns)), [f"_k{i}" for i in range(len(keys))]
+    left = big.join(heavy, same, "left").withColumn("_part", F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*big.columns) if by is None else by, F.col("_parts").cast("long"))).cast("int")).drop(*heavy.columns)
+    right = small.join(heavy, same, "left").withColumn("_of", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop(*heavy.columns)
     right = right.withColumnsRenamed(dict(zip(keys, names)))
-    return left.join(right, [F.col(k).eqNullSafe(F.col(x)) for k, x in zip(keys, names)] + [F.col("_part") == F.col("_of")], how).drop(*names, "_part", "_of")
+    return left.join(right, every(zip(keys, names)) & (F.col("_part") == F.col("_of")), how).drop(*names, "_part", "_of")
 
 
 def ascii_lower(text):

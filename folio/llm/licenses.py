@@ -3,7 +3,7 @@
 All rolling word pairs of all texts are joined by hash to the pairs of the license templates; a hit's diagonal is its place in
 the text less its place in the template. Hits are counted per diagonal, neighbouring diagonals (a word missing or added) are
 merged, and a merged span is verified: the words compared as strings must cover a share of the template. The templates are a
-fixed list of a few hundred pairs, whatever the corpus, so they are broadcast; what is shuffled are hits and one row a text.
+given list of any length, whatever the corpus, so they are broadcast; what is shuffled are hits and one row a text.
 
 Defined results: null text has no words; no base place gives null first and last words and empty base labels; repeated rows
 each give a row; extra columns are ignored; an empty table gives no rows.
@@ -41,30 +41,32 @@ def _words(text: str) -> list[str]:
     return re.findall(WORD, "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
 
 
-def template_rows() -> list[tuple]:
+def template_rows(templates=TEMPLATES) -> list[tuple]:
     """(template, label, base, pairs, at, a, b); template -1 is the row that every text meets once."""
     rows = [(-1, "", False, 1, 0, "", "")]
-    for k, (text, label, base) in enumerate([(t, v, True) for t, v in BASE.items()] + [(t, v, False) for t, v in TEMPLATES]):
+    for k, (text, label, base) in enumerate([(t, v, True) for t, v in BASE.items()] + [(t, v, False) for t, v in templates]):
         w = _words(text)
-        assert len(w) < 64, "a template's places are bits of a long"
         rows += [(k, label, base, len(w) - 1, i, w[i], w[i + 1]) for i in range(len(w) - 1)]
     return rows
 
 
-def scan(docs: DataFrame, share: float = SHARE) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every row of docs(doc_id, text)."""
+def scan(docs: DataFrame, share: float = SHARE, templates=TEMPLATES) -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every row of docs(doc_id, text).
+
+    templates: (text, label) of any length, of two words at least; they are broadcast, so all of them are to fit in memory.
+    """
     spark = docs.sparkSession
-    known = spark.createDataFrame(template_rows(), "template int, label string, base boolean, pairs int, at int, ta string, tb string").withColumn("hash", F.xxhash64("ta", "tb"))
+    known = spark.createDataFrame(template_rows(templates), "template int, label string, base boolean, pairs int, at int, ta string, tb string").withColumn("hash", F.xxhash64("ta", "tb"))
     w = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), words_of(F.col("text")).alias("w"))
     w = w.select("row", "doc_id", F.size("w").alias("n"), F.arrays_zip(F.concat(F.array(F.lit("")), F.col("w")).alias("a"), F.concat(F.array(F.lit("")), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), F.array(F.lit(None).cast("string"))).alias("b")).alias("p"))
     each = w.select("row", "doc_id", "n", F.posexplode("p").alias("pos", "p")).select("row", "doc_id", "n", "pos", F.col("p.a").alias("a"), F.col("p.b").alias("b"))
     hits = each.withColumn("hash", F.xxhash64("a", "b")).join(F.broadcast(known), "hash").where("a = ta and b = tb and (template >= 0 or pos = 0)")
-    diagonals = hits.groupBy("row", "doc_id", "n", "template", "label", "base", "pairs", (F.col("pos") - 1 - F.col("at")).alias("diagonal")).agg(F.count(F.lit(1)).alias("votes"), F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.bit_or(F.expr("shiftleft(1L, at)")).alias("met"))
+    diagonals = hits.groupBy("row", "doc_id", "n", "template", "label", "base", "pairs", (F.col("pos") - 1 - F.col("at")).alias("diagonal")).agg(F.count(F.lit(1)).alias("votes"), F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.collect_set("at").alias("met"))
     own = Window.partitionBy("row", "template").orderBy("diagonal")
     fresh = (F.col("diagonal") - F.lag("diagonal").over(own) > SLIP) | (F.col("lo") - F.lag("hi").over(own) > F.col("pairs")) | F.lag("diagonal").over(own).isNull()
     spans = diagonals.withColumn("span", F.sum(fresh.cast("int")).over(own))
     spans = spans.groupBy("row", "doc_id", "n", "template", "label", "base", "pairs", "span").agg(
-        F.bit_count(F.bit_or("met")).alias("covered"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("met")))).alias("covered"),
         F.count_if(F.col("votes") == F.col("pairs")).alias("whole"),
         F.min(F.when(F.col("votes") == F.col("pairs"), F.col("diagonal"))).alias("first"), F.max(F.when(F.col("votes") == F.col("pairs"), F.col("diagonal"))).alias("last"))
     part = F.col("covered") / F.col("pairs")
