@@ -3,13 +3,19 @@ number structure, ISO/IEC 7812 card lengths, RFC 3986, ISO 8601. No look-around
 reads them alike; the order is the order of masking.
 """
 
-#: label, pattern of the whole item, pattern with the part that partial masking keeps as its first group (fixed values)
+_AREA = "(?:00[1-9]|0[1-9][0-9]|[1-57-8][0-9][0-9]|6[0-57-9][0-9]|66[0-57-9])"
+_GROUP, _SERIAL = "(?:0[1-9]|[1-9][0-9])", "(?:000[1-9]|00[1-9][0-9]|0[1-9][0-9][0-9]|[1-9][0-9][0-9][0-9])"
+#: A social security number as SSA issues them: no area 000, 666 or 900 on, no group 00, no serial 0000; dashes or spaces.
+SSN = f"{_AREA}-{_GROUP}-{_SERIAL}|{_AREA} {_GROUP} {_SERIAL}"
+#: label, pattern of the whole item, pattern with the part that partial masking keeps as its first group, whether it may not touch digits (fixed values)
 MASKS = [
-    ("EMAIL", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", r"[A-Za-z0-9._%+-]+(@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"),
-    ("SSN", r"[0-8][0-9]{2}-[0-9]{2}-[0-9]{4}", r"[0-8][0-9]{2}-[0-9]{2}-([0-9]{4})"),
-    ("PHONE", r"\(?[2-9][0-9]{2}\)?[ .-][2-9][0-9]{2}[ .-][0-9]{4}", r"\(?[2-9][0-9]{2}\)?[ .-][2-9][0-9]{2}[ .-]([0-9]{4})"),
-    ("NUMBER", r"[0-9]{12,19}", r"[0-9]{8,15}([0-9]{4})"),
+    ("EMAIL", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", r"[A-Za-z0-9._%+-]+(@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})", False),
+    ("SSN", SSN, f"(?:{_AREA}-{_GROUP}-|{_AREA} {_GROUP} )({_SERIAL})", True),
+    ("PHONE", r"\(?[2-9][0-9]{2}\)?[ .-][2-9][0-9]{2}[ .-][0-9]{4}", r"\(?[2-9][0-9]{2}\)?[ .-][2-9][0-9]{2}[ .-]([0-9]{4})", False),
+    ("NUMBER", r"[0-9]{12,19}", r"[0-9]{8,15}([0-9]{4})", False),
 ]
+#: What stands before and after an item that may not touch digits. Neighbours share one such character, so replacing takes two passes.
+BEFORE, AFTER = "(^|[^0-9])", "($|[^0-9])"
 ENTITIES = [
     ("email", MASKS[0][1]),
     ("phone", MASKS[2][1]),
@@ -18,3 +24,11 @@ ENTITIES = [
     ("money", r"\$[0-9]+(?:,[0-9]{3})*(?:\.[0-9]{2})?"),
 ]
 NUMBER_TOKEN = r"[0-9][0-9,.]*[0-9]"
+#: How many digits stand together in what may be a card number (ISO/IEC 7812; in a row, by fours, or 4-6-5), a social security number, a date (fixed values).
+CARDS, SSNS, DATES = [(n,) for n in range(13, 20)] + [(4, 4, 4, 4), (4, 6, 5)], [(3, 2, 4)], [(4, 2, 2)]
+
+
+def shapes(widths: list[tuple[int, ...]], separators: str) -> str:
+    """Groups of so many digits joined by one of the separators and touching no other digit, in a text whose other characters stand twice, so that neighbours share none; group 2 is the item."""
+    each = list(dict.fromkeys((2 * s).join(f"[0-9]{{{n}}}" for n in w) for w in widths for s in separators))
+    return f"{BEFORE}({'|'.join(each)}){AFTER}"

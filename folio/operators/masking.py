@@ -5,21 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.patterns import MASKS
+from ..functions.patterns import AFTER, BEFORE, MASKS
+from .skew import aside
 
 
 def mask(docs: DataFrame, mode: str = "full") -> DataFrame:
-    """docs with text masked and a count column n_<label> per category; full puts [LABEL], partial keeps the last part."""
-    text, counts = F.coalesce(F.col("text"), F.lit("")), {}
-    out = docs.withColumn("masked", text)
-    for label, whole, partial in MASKS:
-        counts[f"n_{label.lower()}"] = label
-        out = out.withColumn(f"n_{label.lower()}", F.regexp_count("masked", F.lit(whole)).cast("long"))
-        out = out.withColumn("masked", F.regexp_replace("masked", whole, f"[{label}]") if mode == "full" else F.regexp_replace("masked", partial, "****$1"))
-    return out
-
+    """docs with `masked` and a count column n_<label> per category; full puts [LABEL], partial keeps the last part.
 
-def luhn_numbers(docs: DataFrame) -> DataFrame:
-    """Each digit run of card length (12 to 19) with whether its check digit holds (ISO/IEC 7812-1, annex B)."""
-    runs = docs.select("doc_id", F.posexplode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(MASKS[3][1]), F.lit(0))).alias("seq", "digits"))
-    return runs.select("doc_id", F.col("seq").cast("long").alias("seq"), "digits", F.call_function("luhn_check", "digits").alias("valid"))
+    Null text is the empty text; repeated rows are masked alike; columns of docs named like the new ones are returned as
+    given_<name>, all others as they are; an empty table gives no rows.
+    """
+    out = aside(docs, ["masked", *[f"n_{m[0].lower()}" for m in MASKS]])
+    out = out.withColumn("masked", F.coalesce(F.col("text"), F.lit("")))
+    for label, whole, partial, guarded in MASKS:
+        n, found = f"n_{label.lower()}", whole
+        swap = (whole, f"[{label}]") if mode == "full" else (partial, "****$1")
+        if guarded:
+            found = f"{BEFORE}(?:{whole}){AFTER}"
+            swap = (found, f"$1[{label}]$2") if mode == "full" else (f"{BEFORE}(?:{partial}){AFTER}", "$1****$2$3")
+        count = F.regexp_count("masked", F.lit(found)).cast("long")
+        out = out.withColumns({n: count, "masked": F.regexp_replace("masked", *swap)})
+        if guarded:
+            out = out.withColumns({n: F.col(n) + count, "masked": F.regexp_replace("masked", *swap)})
+    return out

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.patterns import ENTITIES, MASKS, NUMBER_TOKEN
-from ..operators import dedup, entities, masking, packing
+from ..functions.patterns import AFTER, BEFORE, CARDS, DATES, ENTITIES, MASKS, NUMBER_TOKEN, SSN, SSNS, shapes
+from ..operators import dedup, entities, masking, numbers, packing
 from ..sources.tables import table
 
 FLAGSHIP = "mask_contacts"
@@ -30,8 +30,55 @@ def mask_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _masked(spark, sf_dir, "full").groupBy("source").agg(*[F.sum(c).alias(c) for c in COUNTS])
 
 
+#: A text of identifiers per order, true ones and false ones, as SQL that Spark and DuckDB read alike: (spaced or dashed SSN, routing number, card, date, amount).
+_PAD = "lpad(cast({} as varchar(20)), {}, '0')"
+_SSN = ["o_orderkey * 7 % 1000", 3, "o_orderkey * 3 % 100", 2, "o_orderkey * 13 % 10000", 4]
+_ssn = lambda sep: f" || '{sep}' || ".join(_PAD.format(e, n) for e, n in zip(_SSN[::2], _SSN[1::2]))
+_four = lambda k: _PAD.format(f"o_orderkey * {k} % 10000", 4)
+_CARDS = [f"'4' || {_PAD.format('o_orderkey * 17 % 1000', 3)}", _four(31), _four(53), _four(71)]
+_DATE = f"cast(1990 + o_orderkey % 40 as varchar(20)) || '-' || {_PAD.format('o_orderkey % 14', 2)} || '-' || {_PAD.format('o_orderkey % 33', 2)}"
+_MONEY = f"cast(1 + o_orderkey % 900 as varchar(20)) || '{{}}' || {_PAD.format('o_orderkey * 37 % 1000', 3)}"
+IDENTIFIERS = (
+    f"'ssn ' || CASE WHEN o_orderkey % 5 = 0 THEN '9' ELSE '' END || CASE WHEN o_orderkey % 2 = 0 THEN {_ssn('-')} ELSE {_ssn(' ')} END || ' aba ' || {_PAD.format('o_orderkey * 1234577 % 1000000000', 9)}"
+    f" || ' card ' || CASE WHEN o_orderkey % 3 = 0 THEN {' || '.join(_CARDS)} WHEN o_orderkey % 3 = 1 THEN {' || chr(32) || '.join(_CARDS)} ELSE {' || chr(45) || '.join(_CARDS)} END || ' on ' || {_DATE} || ' paid ' || {_MONEY.format(',')} || '.'"
+)
+REFORMATTED = f"'paid ' || CASE WHEN o_orderkey % 7 = 0 THEN '1' ELSE '' END || {_MONEY.format('')} || '.'"
+
+
+def _identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit("orders").alias("source"), F.expr(IDENTIFIERS).alias("text"), F.expr(REFORMATTED).alias("after"))
+
+
 def luhn_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return masking.luhn_numbers(table(spark, sf_dir, "documents"))
+    return numbers.luhn_numbers(table(spark, sf_dir, "documents"))
+
+
+def card_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return numbers.card_numbers(_identifiers(spark, sf_dir))
+
+
+def ssn_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return numbers.ssn_numbers(_identifiers(spark, sf_dir))
+
+
+def routing_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return numbers.routing_numbers(_identifiers(spark, sf_dir))
+
+
+def calendar_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return numbers.calendar_dates(_identifiers(spark, sf_dir))
+
+
+def mask_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masking.mask(_identifiers(spark, sf_dir)).select("doc_id", *COUNTS, "masked")
+
+
+def entity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entities.kinds(table(spark, sf_dir, "documents"))
+
+
+def number_survival_reformatted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entities.survival(_identifiers(spark, sf_dir).withColumnRenamed("text", "before"), reformatted=True)
 
 
 def exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,28 +97,59 @@ def number_survival(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.survival(_masked(spark, sf_dir, "full").select("doc_id", F.col("text").alias("before"), F.col("masked").alias("after")))
 
 
-QUERIES = {f.__name__: f for f in (mask_contacts, mask_partial, mask_totals, luhn_numbers, exact_copies, pack_in_order, entity_index, number_survival)}
+QUERIES = {f.__name__: f for f in (mask_contacts, mask_partial, mask_totals, luhn_numbers, exact_copies, pack_in_order, entity_index, number_survival, card_numbers, ssn_numbers, routing_numbers, calendar_dates, mask_identifiers, entity_counts, number_survival_reformatted)}
+
+
+_OWN = f"(SELECT o_orderkey AS doc_id, 'orders' AS source, {IDENTIFIERS} AS text, {REFORMATTED} AS after FROM orders)"
 
 
-def _chain(mode: str, keep: str = "") -> str:
+def _chain(mode: str, given: str = "documents") -> str:
     """The same chain as nested selects: each step counts on, and replaces in, the text of the step before."""
-    sql = f"SELECT doc_id, source, coalesce(text, '') AS text, coalesce(text, '') AS m FROM documents{keep}"
-    for label, whole, partial in MASKS:
-        swap = f"regexp_replace(m, '{whole}', '[{label}]', 'g')" if mode == "full" else f"regexp_replace(m, '{partial}', '****\\1', 'g')"
-        sql = f"SELECT * EXCLUDE (m), len(regexp_extract_all(m, '{whole}')) AS n_{label.lower()}, {swap} AS m FROM ({sql})"
+    sql = f"SELECT doc_id, source, coalesce(text, '') AS text, coalesce(text, '') AS m FROM {given}"
+    for label, whole, partial, guarded in MASKS:
+        find, swap = whole, f"regexp_replace(m, '{whole}', '[{label}]', 'g')" if mode == "full" else f"regexp_replace(m, '{partial}', '****\\1', 'g')"
+        if guarded:
+            find = f"{BEFORE}(?:{whole}){AFTER}"
+            swap = f"regexp_replace(m, '{find}', '\\1[{label}]\\2', 'g')" if mode == "full" else f"regexp_replace(m, '{BEFORE}(?:{partial}){AFTER}', '\\1****\\2\\3', 'g')"
+        n = f"n_{label.lower()}"
+        sql = f"SELECT * EXCLUDE (m), len(regexp_extract_all(m, '{find}')) AS {n}, {swap} AS m FROM ({sql})"
+        if guarded:
+            sql = f"SELECT * EXCLUDE (m, {n}), {n} + len(regexp_extract_all(m, '{find}')) AS {n}, {swap} AS m FROM ({sql})"
     return sql
 
 
+def _found(pattern: str, name: str, given: str) -> str:
+    """A row per match: doc_id, seq and the match."""
+    return f"(SELECT doc_id, unnest(x) AS {name}, generate_subscripts(x, 1) - 1 AS seq FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{pattern}') AS x FROM {given}))"
+
+
+def _joined(pattern: str) -> str:
+    """A row per item of shapes() in the texts of identifiers."""
+    return f"(SELECT doc_id, seq, replace(replace(item, '--', '-'), '  ', ' ') AS item FROM (SELECT doc_id, unnest(x) AS item, generate_subscripts(x, 1) - 1 AS seq FROM (SELECT doc_id, regexp_extract_all(regexp_replace(text, '([^0-9])', '\\1\\1', 'g'), '{pattern}', 2) AS x FROM {_OWN})))"
+
+
+_LUHN = """list_sum(list_transform(range(1, length(digits) + 1), lambda i: CASE WHEN i % 2 = 1 THEN substr(reverse(digits), i, 1)::INT
+  ELSE (2 * substr(reverse(digits), i, 1)::INT) // 10 + (2 * substr(reverse(digits), i, 1)::INT) % 10 END)) % 10 = 0 AS valid"""
+
 ORACLES = {
     "mask_contacts": f"SELECT doc_id, {', '.join(COUNTS)}, sha256(m) AS digest FROM ({_chain('full')})",
     "mask_partial": f"SELECT doc_id, {', '.join(COUNTS)}, sha256(m) AS digest FROM ({_chain('partial')})",
     "mask_totals": f"SELECT source, {', '.join(f'sum({c})::BIGINT AS {c}' for c in COUNTS)} FROM ({_chain('full')}) GROUP BY source",
-    "luhn_numbers": f"""
-SELECT doc_id, seq, digits, list_sum(list_transform(range(1, length(digits) + 1), lambda i: CASE WHEN i % 2 = 1 THEN substr(reverse(digits), i, 1)::INT
-  ELSE (2 * substr(reverse(digits), i, 1)::INT) // 10 + (2 * substr(reverse(digits), i, 1)::INT) % 10 END)) % 10 = 0 AS valid
-FROM (SELECT doc_id, unnest(x) AS digits, generate_subscripts(x, 1) - 1 AS seq FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{MASKS[3][1]}') AS x FROM documents))""",
+    "mask_identifiers": f"SELECT doc_id, {', '.join(COUNTS)}, m AS masked FROM ({_chain('full', _OWN)})",
+    "luhn_numbers": f"SELECT doc_id, seq, digits, {_LUHN} FROM {_found('[0-9]+', 'digits', 'documents')} WHERE length(digits) BETWEEN 12 AND 19",
+    "card_numbers": f"SELECT *, {_LUHN} FROM (SELECT doc_id, seq, item, translate(item, ' -', '') AS digits FROM {_joined(shapes(CARDS, ' -'))})",
+    "ssn_numbers": f"SELECT doc_id, seq, item, regexp_full_match(item, '{SSN}') AS valid FROM {_joined(shapes(SSNS, ' -'))}",
+    "routing_numbers": f"""
+SELECT doc_id, seq, digits, list_sum(list_transform(range(0, 9), lambda i: substr(digits, i + 1, 1)::INT * [3, 7, 1][i % 3 + 1])) % 10 = 0
+  AND (digits[1:2]::INT BETWEEN 0 AND 12 OR digits[1:2]::INT BETWEEN 21 AND 32 OR digits[1:2]::INT BETWEEN 61 AND 72 OR digits[1:2] = '80') AS valid
+FROM {_found('[0-9]+', 'digits', _OWN)} WHERE length(digits) = 9""",
+    "calendar_dates": f"SELECT doc_id, seq, item, try_cast(item AS DATE) IS NOT NULL AS valid FROM {_joined(shapes(DATES, '-'))}",
+    "entity_counts": "SELECT kind, count(*) AS n, count(DISTINCT value) AS n_values FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS kind, unnest(regexp_extract_all(coalesce(text, ''), '{p}')) AS value FROM documents" for k, p in ENTITIES) + ") GROUP BY kind",
+    "number_survival_reformatted": f"""
+SELECT doc_id, len(b) AS total, len(list_intersect(b, a)) AS preserved, len(b) - len(list_intersect(b, a)) AS missing
+FROM (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(text, '{NUMBER_TOKEN}'), lambda x: replace(x, ',', ''))) AS b, list_distinct(list_transform(regexp_extract_all(after, '{NUMBER_TOKEN}'), lambda x: replace(x, ',', ''))) AS a FROM {_OWN})""",
     "exact_copies": """
-SELECT doc_id, digest, min(doc_id) OVER w AS first_doc_id, count(*) OVER w AS n_copies, doc_id > min(doc_id) OVER w AS is_copy
+SELECT doc_id, digest, min(doc_id) OVER w AS first_doc_id, count(*) OVER w AS n_copies, coalesce(doc_id > min(doc_id) OVER w, min(doc_id) OVER w IS NOT NULL) AS is_copy
 FROM (SELECT doc_id, sha256(coalesce(text, '')) AS digest FROM documents) WINDOW w AS (PARTITION BY digest)""",
     "pack_in_order": f"""
 WITH RECURSIVE d AS (SELECT doc_id, doc_id // {BLOCK} AS block, octet_length(encode(coalesce(text, ''))) AS bytes, row_number() OVER (PARTITION BY doc_id // {BLOCK} ORDER BY doc_id) AS k FROM documents),
