@@ -20,7 +20,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import heavy_keys, spread_join, table
+from ..operators.skew import heavy_keys, spread_join
+from .common import table
 
 BLOCK, RUN = 64, 1024
 

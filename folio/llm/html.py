@@ -32,7 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, heavy_keys, spread_join, staged, table
+from ..operators.skew import heavy_keys, spread_join
+from .common import discard, staged, table
 
 #: Element names by role (fixed values).
 INLINE = set("a abbr acronym b bdi bdo big br cite code data dfn em font i img ins kbd label mark meter noscript output picture q ruby rb rt rp s samp small source span strike strong sub sup time tt u var wbr del nobr".split())

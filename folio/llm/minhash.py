@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, discard, flat, hashed, heavy_keys, mix, shingles, spread_join, staged, table, words_of
+from ..operators.skew import heavy_keys, spread_join
+from .common import components, discard, flat, hashed, mix, shingles, staged, table, words_of
 
 WIDTH, SIMILARITY, BANDS, ROWS, TILE = 5, 0.8, 26, 5, 512
 #: Estimates below the threshold by more than this (6 standard deviations at 130 slots) are not followed; at similarity 0.8 that is 2 pairs in 10^8.

@@ -18,7 +18,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import spread_join, staged, table
+from ..operators.skew import spread_join
+from .common import staged, table
 
 ALPHA, DELTA = 0.05, 0.05
 #: Cutoffs tried for every measure, per thousand (fixed values).

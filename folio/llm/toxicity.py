@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.skew import aside
 from .common import mix, small_batches, table, words_of
 
 BITS, MOST_ROWS, SHARDS, EPOCHS = 20, 10_000, 1, 4
@@ -151,11 +152,7 @@ def _score(model, bits: int):
 
 def scored(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], bits: int = BITS, name: str = "score") -> DataFrame:
     """docs (any columns, among them text) with the score under `name`; a column of docs of that name is returned as given_<name>."""
-    if name in docs.columns:
-        other = f"given_{name}"
-        while other in docs.columns:
-            other = f"given_{other}"
-        docs = docs.withColumnRenamed(name, other)
+    docs = aside(docs, [name])
     small_batches(docs.sparkSession, 250)
     model = docs.sparkSession.sparkContext.broadcast(weights)
     given = docs.select("*", words_of(F.col("text")).alias(name))  # the words, in the place that the score takes
