@@ -10,7 +10,7 @@ with a weight. Components come from each tile's spanning links.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components have no links and are kept; vectors
 of other lengths never link; repeated ids are separate vectors of one id (they link like equal vectors, and an id's row is
-repeated); extra columns are ignored; ties at the threshold count as links.
+repeated); a null id is kept; extra columns are ignored; ties at the threshold count as links; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -67,6 +67,12 @@ def _prepare(kind: str):
     return run
 
 
+def _split(size: int, blocks: int) -> tuple[int, int]:
+    """(blocks, their dimensions) of turned vectors of `size` dimensions; short vectors have fewer blocks, each with more of the distance."""
+    blocks = min(blocks, size)
+    return blocks, size // blocks
+
+
 def _cells(kind: str, cosine: float, blocks: int, dims: int):
     """A row for each block: the vector's cell there."""
 
@@ -78,9 +84,9 @@ def _cells(kind: str, cosine: float, blocks: int, dims: int):
                 by_size.setdefault(len(r), []).append(i)
             for size, at in by_size.items():
                 y = rotated(_unit([raw[i] for i in at], kind))
-                step = y.shape[1] // blocks or 1
-                radius = np.sqrt((2 - 2 * cosine) / blocks) * (1 + 1e-6) + 1e-9
-                for j in range(min(blocks, y.shape[1])):
+                count, step = _split(y.shape[1], blocks)
+                radius = np.sqrt((2 - 2 * cosine) / count) * (1 + 1e-6) + 1e-9
+                for j in range(count):
                     cell = np.floor(y[:, j * step : j * step + min(dims, step)] / radius).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([
                         pa.array([size] * len(at), pa.int32()), pa.array([j] * len(at), pa.int32()), pa.array(cell.tolist(), pa.list_(pa.int32())),
@@ -91,16 +97,14 @@ def _cells(kind: str, cosine: float, blocks: int, dims: int):
 
 
 def _tile(kind: str, cosine: float, blocks: int):
-    budget = (2 - 2 * cosine) / blocks
-
     def run(key, t):
         mine = np.array(t.column("left").to_pylist(), bool)
         j, within = key[1].as_py(), key[-1].as_py()
         rep, weight = t.column("rep").to_numpy(), t.column("weight").to_numpy()
         x = _unit(t.column("v").to_pylist(), kind)
         y = rotated(x)
-        step = y.shape[1] // blocks or 1
-        y = y[:, : step * blocks]
+        count, step = _split(y.shape[1], blocks)
+        y, budget = y[:, : step * count], (2 - 2 * cosine) / count
         a = np.flatnonzero(mine)
         c = a if within else np.flatnonzero(~mine)
         out = np.zeros(len(rep), np.int64)
@@ -128,7 +132,7 @@ def _tile(kind: str, cosine: float, blocks: int):
                 m, n = u[s : s + 100_000], v[s : s + 100_000]
                 ok = (x[m] * x[n]).sum(1) >= cosine
                 m, n = m[ok], n[ok]
-                d = np.square(y[m] - y[n]).reshape(len(m), blocks, step).sum(2)
+                d = np.square(y[m] - y[n]).reshape(len(m), count, step).sum(2)
                 ok = d.argmin(1) == j
                 m, n = m[ok], n[ok]
                 np.add.at(out, m, weight[n])
