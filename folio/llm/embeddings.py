@@ -164,7 +164,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, blocks: int = BLOCK
     shift = lambda s, sign: F.zip_with("cell", F.array(*[F.lit(d) for d in s]), lambda a, b: a + sign * b)
     width = F.size("cell")
     # of every neighbour: is it there, and in how many parts
-    links = full.select("size", "block", "cell", "parts", F.explode(F.array(*[F.struct(F.array(*[F.lit(d) for d in s]).alias("s"), F.slice(shift(s, 1), 1, width).alias("to")) for s in steps])).alias("x")).select("size", "block", "cell", "parts", "x.s", "x.to")
+    links = full.select("size", "block", "cell", "parts", F.explode(F.array(*[F.struct(F.array(*[F.lit(d) for d in s]).alias("s"), F.slice(shift(s, 1), 1, width).alias("to")) for s in steps])).alias("x")).select("size", "block", "cell", "parts", "x.to").distinct()  # steps in a dimension that a block lacks are one
     other = full.select("size", "block", F.col("cell").alias("to"), F.col("parts").alias("to_parts"))
     links = links.join(other, ["size", "block", "to"])
     cut = F.pmod(F.xxhash64("rep", F.lit(5)), F.col("parts").cast("long")).cast("int")
