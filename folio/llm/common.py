@@ -66,12 +66,6 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds the rows of an Arrow batch for a result that is computed when it is read; staged() needs no lasting change."""
-    if int(spark.conf.get(BATCH)) > rows:
-        spark.conf.set(BATCH, str(rows))
-
-
 def ascii_lower(text):
     """A-Z lower-cased, null as the empty string, nothing else changed."""
     return F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -20,9 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, flat, small_batches, staged, table
+from .common import components, flat, staged, table
 
 BLOCKS, GRID_DIMS, PART = 4, 2, 8000
+#: Vectors of an Arrow batch.
+ARROW = 5000
 
 
 def rotated(x: np.ndarray, seed: int = 11) -> np.ndarray:
@@ -149,12 +151,10 @@ def _tile(kind: str, cosine: float, blocks: int):
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.9, blocks: int = BLOCKS, dims: int = GRID_DIMS, part: int = PART) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of vectors(vec_id, embedding)."""
-    spark = vectors.sparkSession
-    small_batches(spark, 5000)
     kind = "<f8" if vectors.schema["embedding"].dataType.elementType.simpleString() == "double" else "<f4"
-    rows = staged(vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(_prepare(kind), "vec_id long, v binary"), "vectors")
+    rows = staged(vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(_prepare(kind), "vec_id long, v binary"), "vectors", ARROW)
     same = staged(rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight")), "classes")
-    cells = staged(same.mapInArrow(_cells(kind, cosine, blocks, dims), "size int, block int, cell array<int>, rep long, weight long, v binary"), "cells")
+    cells = staged(same.mapInArrow(_cells(kind, cosine, blocks, dims), "size int, block int, cell array<int>, rep long, weight long, v binary"), "cells", ARROW)
     full = cells.groupBy("size", "block", "cell").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / part).cast("int"))
     # each cell with itself and with the half of its neighbours that come after it in order
     steps = [[]]

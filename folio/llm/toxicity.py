@@ -22,9 +22,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.skew import aside
-from .common import mix, small_batches, table, words_of
+from .common import mix, table, words_of
 
 BITS, MOST_ROWS, SHARDS, EPOCHS = 20, 10_000, 1, 4
+#: Texts whose features a worker holds at once when scoring.
+SOME = 250
 #: Lengths of the word beginnings that count as stems, one more kind of unigram.
 STEMS = (4, 5, 6, 7)
 PAIR, SKIP = np.uint64(0x51), np.uint64(0xA7)
@@ -141,7 +143,8 @@ def _score(model, bits: int):
         at, values = model.value
         w[at] = values
         some, wanted = len(at) > 0, w != 0
-        for b in batches:
+        # Spark bounds a batch's bytes; a text's features take more memory than the text, so they are made for a few texts at a time
+        for b in (whole.slice(lo, SOME) for whole in batches for lo in range(0, whole.num_rows, SOME)):
             slot, row = features(b.column(b.num_columns - 1), bits, wanted)
             total = np.bincount(row, w[slot], b.num_rows) + w[1 << bits]
             p = 1 / (1 + np.exp(-np.clip(total, -35, 35))) if some else np.zeros(b.num_rows)
@@ -153,7 +156,6 @@ def _score(model, bits: int):
 def scored(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], bits: int = BITS, name: str = "score") -> DataFrame:
     """docs (any columns, among them text) with the score under `name`; a column of docs of that name is returned as given_<name>."""
     docs = aside(docs, [name])
-    small_batches(docs.sparkSession, 250)
     model = docs.sparkSession.sparkContext.broadcast(weights)
     given = docs.select("*", words_of(F.col("text")).alias(name))  # the words, in the place that the score takes
     return given.mapInArrow(_score(model, bits), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))

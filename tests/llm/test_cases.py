@@ -276,3 +276,22 @@ def test_texts_of_millions_of_characters(spark):
         ids = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
         got = run(path).where("doc_id = 1").collect()
         assert (got[0].n_tokens == len(ids)) if "n_tokens" in got[0] else (sum(r.length for r in got) == len(ids) + 1 == got[0].doc_tokens)
+
+
+def test_operators_leave_the_session_as_it_is(spark):
+    docs = spark.createDataFrame([(i, f"plain words number {i} here") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    vectors = spark.createDataFrame([(i, [float(i), 1.0, 2.0]) for i in range(9)], "vec_id long, embedding array<float>")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    toxicity.accepted(docs, labels).collect()
+    embeddings.near_duplicates(vectors).collect()
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_scores_do_not_depend_on_slices(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, None if i % 7 == 0 else f"w{i % 5} word{i} " * (i % 4)) for i in range(50)], "doc_id long, text string").coalesce(1)
+    weights = np.arange(1 << toxicity.BITS, dtype=np.int64), np.sin(np.arange(1 << toxicity.BITS))
+    whole = sorted(map(tuple, toxicity.scored(docs, weights).select("doc_id", "score").collect()))
+    monkeypatch.setattr(toxicity, "SOME", 3)
+    cut = sorted(map(tuple, toxicity.scored(docs, weights).select("doc_id", "score").collect()))
+    assert [d for d, _ in cut] == [d for d, _ in whole] and np.allclose([s for _, s in cut], [s for _, s in whole], atol=1e-12)
