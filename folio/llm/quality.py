@@ -1,10 +1,14 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
-Measures of each whole text are compared with cutoffs. A cutoff of a stratum (a language) and a measure is admitted only if an
-exact binomial test over the labelled holdout shows, at level delta divided by the number of tests made in that stratum's
-family (all strata, measures and grid values: Bonferroni), that it rejects less than alpha / (number of measures) of the good
-texts; so with probability 1 - delta no stratum loses more than alpha of its good texts. Of the admitted cutoffs the one that
-gains most (bad texts rejected less good texts rejected) is taken, the largest of equals; without gain the measure is unused.
+Measures of each whole text are compared with cutoffs. The labelled holdout of each stratum (a language) is halved by a hash of
+doc_id. The first half proposes: for every measure the cutoff that gains most (bad texts rejected less good texts rejected, the
+largest of equals) among those that reject at most alpha / (number of measures) of its good texts; these cutoffs are put in
+order, those that reject fewest good texts first, and one stays if, of the texts that none before it rejects, it rejects more bad
+than good ones. The second half tests them as a fixed sequence: the first cutoff alone, the
+first two together, and so on, each by an exact binomial test, over the good texts, of the rejections by any of them against
+alpha, at level delta / (number of strata), until a test fails; the cutoffs before that are admitted. Fixed-sequence testing
+needs no correction within a stratum, and Bonferroni corrects between strata: so with probability 1 - delta no stratum loses
+more than alpha of the good texts that pass the base rules.
 
 Defined results: null text has no words and fails the base rules; a null language is a stratum of its own; documents labelled
 more than once count with their lowest label; strata without enough labels have no cutoffs, so only the base rules reject
@@ -15,7 +19,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.skew import spread_join
@@ -83,33 +87,58 @@ def _cdf(n, k, p: float):
     return F.when(k > n * F.lit(p), F.lit(1.0)).when(k == 0, F.exp(first)).otherwise(total)
 
 
+def _wide(cutoffs: DataFrame, values: list[str]) -> DataFrame:
+    """One row a stratum of (lang, measure, *values), with a column _<value>_<measure> of each."""
+    return cutoffs.groupBy("lang").agg(*[F.max(F.when(F.col("measure") == m, F.col(v))).alias(f"_{v}_{m}") for v in values for m in MEASURES])
+
+
+def _beside(docs: DataFrame, at: DataFrame, most_broadcast: int = 200_000) -> DataFrame:
+    """docs with the row of its lang in at, a staged table of one row a stratum; null lang to null, docs without one kept."""
+    if at.count() <= most_broadcast:  # a dozen numbers and a name each
+        at = at.withColumnRenamed("lang", "_lang")
+        return docs.join(F.broadcast(at), F.col("lang").eqNullSafe(F.col("_lang")), "left").drop("_lang")
+    return spread_join(docs, at, ["lang"], by=F.monotonically_increasing_id(), how="left")
+
+
 def thresholds(counts: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """(lang, measure, cutoff) admitted by the holdout; counts: doc_id, lang and measured() columns."""
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    held = counts.where("not base_failed").join(known, "doc_id").select("lang", "quality", *[_rate(m).alias(m) for m in MEASURES])
+    half = (F.md5(F.col("doc_id").cast("string")) < "8").alias("learn")
+    held = staged(counts.where("not base_failed").join(known, "doc_id").select("lang", "quality", half, *[_rate(m).alias(m) for m in MEASURES]), "holdout")
     # one row per stratum, measure and distinct rate: pre-aggregated before anything is crossed with the grid
-    per = held.select("lang", "quality", F.explode(F.map_from_arrays(F.array(*[F.lit(m) for m in MEASURES]), F.array(*MEASURES))).alias("measure", "rate"))
+    per = held.where("learn").select("lang", "quality", F.explode(F.map_from_arrays(F.array(*[F.lit(m) for m in MEASURES]), F.array(*MEASURES))).alias("measure", "rate"))
     per = per.groupBy("lang", "measure", F.least("rate", F.lit(1001)).alias("rate")).agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad"))
     grid = per.select("*", F.explode(F.array(*[F.lit(g) for g in GRID])).alias("cutoff"))
     over = F.col("rate") > F.col("cutoff")
     found = grid.groupBy("lang", "measure", "cutoff").agg(F.sum("good").alias("n"), F.sum(F.when(over, F.col("good")).otherwise(0)).alias("k"), F.sum(F.when(over, F.col("bad")).otherwise(0)).alias("caught"))
+    fair = found.where((F.col("k") <= F.col("n") * F.lit(alpha / len(MEASURES))) & (F.col("caught") > F.col("k")))
+    best = fair.groupBy("lang", "measure").agg(F.max_by(F.struct("cutoff", "k", "caught"), F.struct(F.col("caught") - F.col("k"), "cutoff")).alias("b")).select("lang", "measure", "b.*")
+    # a window over the measures of one stratum
+    chain = best.select("lang", "measure", "cutoff", F.row_number().over(Window.partitionBy("lang").orderBy("k", F.desc("caught"), "measure")).alias("place"))
+    places = range(1, len(MEASURES) + 1)
+    first = F.least(*[F.when(F.col(m) > F.col(f"_cutoff_{m}"), F.col(f"_place_{m}")) for m in MEASURES])
+
+    def counted(rows: DataFrame, chain: DataFrame, **arrays) -> DataFrame:
+        """chain with what its stratum's rows, each with the place of the first cutoff that it exceeds, give at every place."""
+        met = _beside(rows, staged(_wide(chain, ["cutoff", "place"]), "chains")).groupBy(F.col("lang").alias("_lang"))
+        met = met.agg(F.count(F.lit(1)).alias("n"), *[F.array(*[F.count_if(f(j)) for j in places]).alias(c) for c, f in arrays.items()])
+        return chain.join(met, F.col("lang").eqNullSafe(F.col("_lang"))).withColumns({c: F.element_at(c, F.col("place")) for c in arrays})
+
+    chain = staged(chain, "chain")
+    chain = counted(held.where("learn"), chain, bad=lambda j: (first == j) & (F.col("quality") == 0), good=lambda j: (first == j) & (F.col("quality") == 1))
+    chain = staged(chain.where("bad > good").select("lang", "measure", "cutoff", "place"), "chain")
+    tested = counted(held.where("not learn and quality = 1"), chain, k=lambda j: first <= j)
     strata = held.select("lang").distinct().count()
-    found = found.withColumn("p", _cdf(F.col("n"), F.col("k"), alpha / len(MEASURES)))
-    good = found.where((F.col("p") <= F.lit(delta / (len(MEASURES) * len(GRID) * max(strata, 1)))) & (F.col("caught") > F.col("k")))
-    return good.groupBy("lang", "measure").agg(F.max_by("cutoff", F.struct(F.col("caught") - F.col("k"), "cutoff")).alias("cutoff"))
+    p = _cdf(F.col("n"), F.col("k"), alpha)
+    # the rejections grow along the sequence and so does p: what passes comes before what fails
+    return tested.where(p <= F.lit(delta / max(strata, 1))).select("lang", "measure", "cutoff")
 
 
 def judged(docs: DataFrame, cutoffs: DataFrame, most_broadcast: int = 200_000) -> DataFrame:
     """measured() docs with kept; cutoffs: thresholds(), one row a stratum here, joined by lang."""
-    at = cutoffs.groupBy("lang").agg(*[F.max(F.when(F.col("measure") == m, F.col("cutoff"))).alias(f"_at_{m}") for m in MEASURES])
-    at = staged(at, "cutoffs")
-    if at.count() <= most_broadcast:  # eight numbers and a name each
-        at = at.withColumnRenamed("lang", "_lang")
-        wide = docs.join(F.broadcast(at), F.col("lang").eqNullSafe(F.col("_lang")), "left").drop("_lang")
-    else:
-        wide = spread_join(docs, at, ["lang"], by=F.monotonically_increasing_id(), how="left")
-    fails = [F.coalesce(_rate(m) > F.col(f"_at_{m}"), F.lit(False)) for m in MEASURES]
-    return wide.withColumn("kept", ~F.col("base_failed") & ~reduce(lambda a, b: a | b, fails)).drop(*[f"_at_{m}" for m in MEASURES])
+    wide = _beside(docs, staged(_wide(cutoffs, ["cutoff"]), "cutoffs"), most_broadcast)
+    fails = [F.coalesce(_rate(m) > F.col(f"_cutoff_{m}"), F.lit(False)) for m in MEASURES]
+    return wide.withColumn("kept", ~F.col("base_failed") & ~reduce(lambda a, b: a | b, fails)).drop(*[f"_cutoff_{m}" for m in MEASURES])
 
 
 def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -149,13 +178,19 @@ m AS (SELECT doc_id, lang, n_words, n_lines, n_dup_lines, coalesce(n_repeat_word
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   {", ".join(f"(1000 * {a}) // greatest({o}, 1) AS {m}" for m, (a, o) in MEASURES.items())} FROM m),
 k AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
-h AS (SELECT b.*, quality FROM b JOIN k USING (doc_id) WHERE NOT base_failed),
-u AS ({" UNION ALL ".join(f"SELECT lang, quality, '{m}' AS measure, {m} AS rate FROM h" for m in MEASURES)}),
+h AS (SELECT b.*, quality, md5(doc_id::VARCHAR) < '8' AS learn, row_number() OVER () AS r FROM b JOIN k USING (doc_id) WHERE NOT base_failed),
+u AS ({" UNION ALL ".join(f"SELECT r, lang, quality, learn, '{m}' AS measure, {m} AS rate FROM h" for m in MEASURES)}),
 f AS (SELECT lang, measure, cutoff, count(*) FILTER (quality = 1) AS n, count(*) FILTER (quality = 1 AND rate > cutoff) AS k, count(*) FILTER (quality = 0 AND rate > cutoff) AS caught
-  FROM u, (SELECT unnest({GRID}) AS cutoff) GROUP BY ALL),
+  FROM u, (SELECT unnest({GRID}) AS cutoff) WHERE learn GROUP BY ALL),
+y AS (SELECT lang, measure, cutoff, k, caught FROM f WHERE k <= n * {ALPHA / len(MEASURES)} AND caught > k QUALIFY row_number() OVER (PARTITION BY lang, measure ORDER BY caught - k DESC, cutoff DESC) = 1),
+c0 AS (SELECT lang, measure, cutoff, row_number() OVER (PARTITION BY lang ORDER BY k, caught DESC, measure) AS place FROM y),
+g0 AS (SELECT u.r, u.lang, quality, min(c0.place) FILTER (u.rate > c0.cutoff) AS place FROM u JOIN c0 ON u.lang IS NOT DISTINCT FROM c0.lang AND u.measure = c0.measure WHERE learn GROUP BY ALL),
+z AS (SELECT c0.lang, measure, cutoff, c0.place FROM c0 JOIN g0 ON g0.lang IS NOT DISTINCT FROM c0.lang AND g0.place = c0.place GROUP BY ALL HAVING count(*) FILTER (quality = 0) > count(*) FILTER (quality = 1)),
+q AS (SELECT u.r, u.lang, min(z.place) FILTER (u.rate > z.cutoff) AS place FROM u JOIN z ON u.lang IS NOT DISTINCT FROM z.lang AND u.measure = z.measure WHERE NOT learn AND quality = 1 GROUP BY ALL),
+n AS (SELECT z.lang, z.measure, z.cutoff, z.place, count(*) AS n, count(*) FILTER (q.place <= z.place) AS k FROM z JOIN q ON q.lang IS NOT DISTINCT FROM z.lang GROUP BY ALL),
 p AS (SELECT *, (SELECT count(*) FROM (SELECT DISTINCT lang FROM h)) AS strata,
-  CASE WHEN k > n * {ALPHA} / {len(MEASURES)} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA / len(MEASURES)}) + (n - i) * ln(1 - {ALPHA / len(MEASURES)})))) END AS p FROM f),
-x AS (SELECT lang, measure, max_by(cutoff, (caught - k) * 10000 + cutoff) AS cutoff FROM p WHERE p <= {DELTA} / ({len(MEASURES) * len(GRID)} * strata) AND caught > k GROUP BY ALL)
+  CASE WHEN k > n * {ALPHA} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA}) + (n - i) * ln(1 - {ALPHA})))) END AS p FROM n),
+x AS (SELECT lang, measure, cutoff FROM p WHERE p <= {DELTA} / strata)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT EXISTS (SELECT 1 FROM x WHERE x.lang IS NOT DISTINCT FROM b.lang AND x.cutoff < CASE measure {" ".join(f"WHEN '{m}' THEN {m}" for m in MEASURES)} END) AS kept
 FROM b

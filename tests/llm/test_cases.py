@@ -295,3 +295,44 @@ def test_scores_do_not_depend_on_slices(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "SOME", 3)
     cut = sorted(map(tuple, toxicity.scored(docs, weights).select("doc_id", "score").collect()))
     assert [d for d, _ in cut] == [d for d, _ in whole] and np.allclose([s for _, s in cut], [s for _, s in whole], atol=1e-12)
+
+
+def test_quality_sequence(spark):
+    """The admitted cutoffs equal a plain-Python fixed sequence with exact binomial tails; strata of under a thousand labels, one of them null, get cutoffs."""
+    import random
+
+    rng = random.Random(3)
+    rows, labels = [], []
+    for i in range(2400):
+        lang, good = ("aa", "bb", "cc", None)[i % 4], rng.random() < 0.8
+        marks = rng.choice([0, 3, 9, 40]) if good and lang != "cc" else rng.choice([0, 40, 120, 300, 700])
+        caps = rng.randrange(0, 60) if good else rng.randrange(20, 300)
+        rows.append((i, lang, 100, 1000, marks, 0, 0, 10, rng.choice([0, 0, 0, 60]), 0, caps, False))
+        labels.append((i, int(good), 0))
+    counts = spark.createDataFrame(rows, "doc_id long, lang string, " + ", ".join(f"{c} long" for c in quality.COUNTS) + ", base_failed boolean")
+    got = {tuple(r) for r in quality.thresholds(counts, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+
+    rates = [{m: 1000 * r[2 + quality.COUNTS.index(a)] // max(r[2 + quality.COUNTS.index(b)], 1) for m, (a, b) in quality.MEASURES.items()} for r in rows]
+    want = set()
+    for lang in ("aa", "bb", "cc", None):
+        mine = [(labels[i][1], rates[i], md5(str(i).encode()).hexdigest() < "8") for i in range(len(rows)) if rows[i][1] == lang]
+        learn, test = [(q, x) for q, x, l in mine if l], [x for q, x, l in mine if not l and q]
+        n = sum(q for q, _ in learn)
+        chain = []
+        for m in quality.MEASURES:
+            tried = [(sum(x[m] > g for q, x in learn if not q), sum(x[m] > g for q, x in learn if q), g) for g in quality.GRID]
+            tried = [(b - k, g, k, b) for b, k, g in tried if k <= n * (quality.ALPHA / len(quality.MEASURES)) and b > k]
+            if tried:
+                _, g, k, b = max(tried)
+                chain.append((k, -b, m, g))
+        chain.sort()
+        first = [(q, next((j for j, (_, _, m, g) in enumerate(chain) if x[m] > g), None)) for q, x in learn]
+        chain = [c for j, c in enumerate(chain) if sum(1 - 2 * q for q, f in first if f == j) > 0]
+        for j in range(len(chain)):
+            k = sum(any(x[m] > g for _, _, m, g in chain[: j + 1]) for x in test)
+            p = sum(math.comb(len(test), i) * quality.ALPHA**i * (1 - quality.ALPHA) ** (len(test) - i) for i in range(k + 1))
+            if p > quality.DELTA / 4:
+                break
+            want.add((lang, chain[j][2], chain[j][3]))
+    assert got == want
+    assert {x[0] for x in want} >= {"aa", "bb", None}
