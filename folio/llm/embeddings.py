@@ -9,8 +9,9 @@ only in the block where it is closest, so that links are counted once without an
 with a weight. Components come from each tile's spanning links.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components have no links and are kept; vectors
-of other lengths never link; repeated ids are separate vectors of one id (they link like equal vectors, and an id's row is
-repeated); a null id is kept; extra columns are ignored; ties at the threshold count as links; an empty table gives no rows.
+of other lengths never link; equal vectors are a class with an id of its own, so rows of one vec_id are judged each by its own vector
+and link only if these do; a null vec_id links like any other, is no smallest id while its component has another (else component_id
+is null) and is kept; components of any size, tiny or huge, count; extra columns are ignored; ties at the threshold count as links; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.skew import heavy_keys, spread_join
 from .common import components, flat, staged, table
 
 BLOCKS, GRID_DIMS, PART = 4, 2, 8000
@@ -46,6 +48,8 @@ def rotated(x: np.ndarray, seed: int = 11) -> np.ndarray:
 
 def _unit(raw: list[bytes], kind: str) -> np.ndarray:
     x = np.frombuffer(b"".join(raw), kind).astype(np.float64).reshape(len(raw), -1)
+    # scaled by a power of two, which is exact, so that no square over- or underflows
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -59,9 +63,7 @@ def _prepare(kind: str):
                     x = None
                 else:
                     x = e.to_numpy(zero_copy_only=False).astype(kind) + 0.0
-                    with np.errstate(over="ignore"):
-                        norm = float(np.dot(x.astype(np.float64), x.astype(np.float64)))
-                    x = x.tobytes() if np.isfinite(norm) and norm > 0 else None
+                    x = x.tobytes() if np.isfinite(x).all() and x.any() else None
                 ids.append(v)
                 raw.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(raw, pa.binary())], ["vec_id", "v"])
@@ -153,7 +155,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, blocks: int = BLOCK
     """vec_id, n_links, component_id, kept of every row of vectors(vec_id, embedding)."""
     kind = "<f8" if vectors.schema["embedding"].dataType.elementType.simpleString() == "double" else "<f4"
     rows = staged(vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(_prepare(kind), "vec_id long, v binary"), "vectors", ARROW)
-    same = staged(rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight")), "classes")
+    same = staged(rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("weight")).withColumn("rep", F.monotonically_increasing_id()), "classes")
     cells = staged(same.mapInArrow(_cells(kind, cosine, blocks, dims), "size int, block int, cell array<int>, rep long, weight long, v binary"), "cells", ARROW)
     full = cells.groupBy("size", "block", "cell").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / part).cast("int"))
     # each cell with itself and with the half of its neighbours that come after it in order
@@ -182,9 +184,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, blocks: int = BLOCK
     tile = tile.withColumn("within", F.col("inner") & (F.col("pa") == F.col("pb"))).drop("inner")
     found = staged(tile.groupBy("size", "block", "a", "b", "pa", "pb", "within").applyInArrow(_tile(kind, cosine, blocks), "rep long, links long, to long"), "links")
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    comp = components(found.select(F.col("rep").alias("a"), F.col("to").alias("b")))
-    reps = same.join(counts, "rep", "left").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("v", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("comp", "rep").alias("component_id"))
-    out = rows.join(reps, "v", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    comp = staged(components(found.select(F.col("rep").alias("a"), F.col("to").alias("b"))).withColumnRenamed("id", "rep").join(same.select("rep", "least"), "rep"), "members")
+    # a component's smallest vec_id; one that holds many classes is dealt into parts
+    least = staged(comp.groupBy("comp").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")), "components")
+    comp = spread_join(comp.select("rep", "comp"), least.select("comp", "component_id"), ["comp"], heavy_keys(least, ["comp"], comp.count())).drop("comp")
+    reps = same.join(counts, "rep", "left").join(comp, "rep", "left")
+    reps = reps.select("v", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"), F.lit(True).alias("met"))
+    out = rows.join(reps, "v", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("met"), F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
