@@ -7,12 +7,11 @@ ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.patterns import CARDS, DATES, SSN, SSNS, shapes
+from .masking import routing
 
 
 def _items(docs: DataFrame, pattern: str, name: str) -> DataFrame:
@@ -28,10 +27,6 @@ def _joined(docs: DataFrame, pattern: str) -> DataFrame:
     return items.withColumn("item", F.replace(F.replace("item", F.lit("--"), F.lit("-")), F.lit("  "), F.lit(" ")))
 
 
-def _digit(column: str, place: int) -> Column:
-    return F.substring(column, place, 1).cast("int")
-
-
 def luhn_numbers(docs: DataFrame) -> DataFrame:
     """Whole digit runs of card length (12 to 19) with whether the check digit holds (ISO/IEC 7812-1, annex B); a longer run is none."""
     runs = _items(docs, "[0-9]+", "digits").where(F.length("digits").between(12, 19))
@@ -50,11 +45,9 @@ def ssn_numbers(docs: DataFrame) -> DataFrame:
 
 
 def routing_numbers(docs: DataFrame) -> DataFrame:
-    """Whole runs of nine digits, and whether they can be an ABA routing number: a Federal Reserve prefix and the weighted sum 3-7-1."""
+    """Whole runs of nine digits, and whether they can be an ABA routing number."""
     runs = _items(docs, "[0-9]+", "digits").where(F.length("digits") == 9)
-    total = reduce(lambda a, b: a + b, [_digit("digits", k + 1) * (3, 7, 1)[k % 3] for k in range(9)])
-    prefix = F.substring("digits", 1, 2).cast("int")
-    return runs.withColumn("valid", (total % 10 == 0) & (prefix.between(0, 12) | prefix.between(21, 32) | prefix.between(61, 72) | (prefix == 80)))
+    return runs.withColumn("valid", routing(F.col("digits")))
 
 
 def calendar_dates(docs: DataFrame) -> DataFrame:

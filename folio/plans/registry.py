@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.patterns import AFTER, BEFORE, CARDS, DATES, ENTITIES, MASKS, NUMBER_TOKEN, SSN, SSNS, shapes
+from ..functions.patterns import AFTER, BEFORE, CARDS, CUE, CUES, DATES, EMAIL, ENTITIES, NUMBER_TOKEN, REACH, SSN, SSNS, numbers as candidates, shapes
 from ..operators import dedup, entities, masking, numbers, packing
 from ..sources.tables import table
 
 FLAGSHIP = "mask_contacts"
 TARGET, BLOCK = 65536, 4096
-COUNTS = [f"n_{m[0].lower()}" for m in MASKS]
+COUNTS = masking.COUNTS
 
 
 def _masked(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
@@ -30,6 +30,10 @@ def mask_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _masked(spark, sf_dir, "full").groupBy("source").agg(*[F.sum(c).alias(c) for c in COUNTS])
 
 
+def mask_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masking.findings(table(spark, sf_dir, "documents"))
+
+
 #: A text of identifiers per order, true ones and false ones, as SQL that Spark and DuckDB read alike: (spaced or dashed SSN, routing number, card, date, amount).
 _PAD = "lpad(cast({} as varchar(20)), {}, '0')"
 _SSN = ["o_orderkey * 7 % 1000", 3, "o_orderkey * 3 % 100", 2, "o_orderkey * 13 % 10000", 4]
@@ -97,25 +101,39 @@ def number_survival(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.survival(_masked(spark, sf_dir, "full").select("doc_id", F.col("text").alias("before"), F.col("masked").alias("after")))
 
 
-QUERIES = {f.__name__: f for f in (mask_contacts, mask_partial, mask_totals, luhn_numbers, exact_copies, pack_in_order, entity_index, number_survival, card_numbers, ssn_numbers, routing_numbers, calendar_dates, mask_identifiers, entity_counts, number_survival_reformatted)}
+QUERIES = {f.__name__: f for f in (mask_contacts, mask_partial, mask_totals, mask_findings, luhn_numbers, exact_copies, pack_in_order, entity_index, number_survival, card_numbers, ssn_numbers, routing_numbers, calendar_dates, mask_identifiers, entity_counts, number_survival_reformatted)}
 
 
 _OWN = f"(SELECT o_orderkey AS doc_id, 'orders' AS source, {IDENTIFIERS} AS text, {REFORMATTED} AS after FROM orders)"
 
 
+_SUM371 = "list_sum(list_transform(range(0, 9), lambda i: substr({0}, i + 1, 1)::INT * [3, 7, 1][i % 3 + 1])) % 10 = 0"
+_ABA = f"{_SUM371} AND ({{0}}[1:2]::INT BETWEEN 0 AND 12 OR {{0}}[1:2]::INT BETWEEN 21 AND 32 OR {{0}}[1:2]::INT BETWEEN 61 AND 72 OR {{0}}[1:2] = '80')"
+_LUHN_OF = """list_sum(list_transform(range(1, length({0}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN substr(reverse({0}), i, 1)::INT
+  ELSE (2 * substr(reverse({0}), i, 1)::INT) // 10 + (2 * substr(reverse({0}), i, 1)::INT) % 10 END)) % 10 = 0"""
+
+
+def _segments(given: str = "documents") -> str:
+    """A row per segment (r, doc_id, source, text, j, k, label, value), from marked matches: e-mails between chr(2), then numbers, in pieces whose other characters are doubled, between chr(1)."""
+    near = {label: f"regexp_extract_all(lower(right(b, {REACH})), '{CUE}', 2)[-1] IN ({', '.join(map(repr, words))})" for label, words in CUES.items()}
+    return f"""
+(WITH t AS (SELECT row_number() OVER () AS r, doc_id, source, text, string_split(regexp_replace(coalesce(text, ''), '({EMAIL})', chr(2) || '\\1' || chr(2), 'g'), chr(2)) AS p FROM {given}),
+p AS (SELECT r, doc_id, source, text, unnest(p) AS p, generate_subscripts(p, 1) AS j FROM t),
+q AS (SELECT *, CASE WHEN j % 2 = 0 THEN [p] ELSE list_transform(string_split(regexp_replace(regexp_replace(p, '([^0-9])', '\\1\\1', 'g'), '{BEFORE}({candidates(2)}){AFTER}', '\\1' || chr(1) || '\\2' || chr(1) || '\\3', 'g'), chr(1)),
+  lambda x: regexp_replace(x, '([^0-9])[^0-9]', '\\1', 'g')) END AS u FROM p),
+v AS (SELECT r, doc_id, source, text, j, unnest(u) AS value, unnest(list_prepend('', u[:-2])) AS b, generate_subscripts(u, 1) AS k FROM q),
+d AS (SELECT *, translate(value, ' .()+-', '') AS d FROM v)
+SELECT r, doc_id, source, text, j, k, value, CASE WHEN j % 2 = 0 THEN 'EMAIL' WHEN k % 2 = 1 THEN NULL
+  WHEN d = value THEN CASE WHEN length(d) >= 12 THEN 'NUMBER' WHEN length(d) = 9 AND {near['SSN']} AND regexp_full_match(d[1:3] || '-' || d[4:5] || '-' || d[6:9], '{SSN}') THEN 'SSN'
+    WHEN length(d) = 9 AND {near['ROUTING']} AND {_ABA.format('d')} THEN 'ROUTING' WHEN {near['ACCOUNT']} THEN 'ACCOUNT' END
+  WHEN length(d) = 9 THEN 'SSN' WHEN length(d) <= 11 THEN 'PHONE' WHEN {_LUHN_OF.format('d')} THEN 'CARD' END AS label FROM d)"""
+
+
 def _chain(mode: str, given: str = "documents") -> str:
-    """The same chain as nested selects: each step counts on, and replaces in, the text of the step before."""
-    sql = f"SELECT doc_id, source, coalesce(text, '') AS text, coalesce(text, '') AS m FROM {given}"
-    for label, whole, partial, guarded in MASKS:
-        find, swap = whole, f"regexp_replace(m, '{whole}', '[{label}]', 'g')" if mode == "full" else f"regexp_replace(m, '{partial}', '****\\1', 'g')"
-        if guarded:
-            find = f"{BEFORE}(?:{whole}){AFTER}"
-            swap = f"regexp_replace(m, '{find}', '\\1[{label}]\\2', 'g')" if mode == "full" else f"regexp_replace(m, '{BEFORE}(?:{partial}){AFTER}', '\\1****\\2\\3', 'g')"
-        n = f"n_{label.lower()}"
-        sql = f"SELECT * EXCLUDE (m), len(regexp_extract_all(m, '{find}')) AS {n}, {swap} AS m FROM ({sql})"
-        if guarded:
-            sql = f"SELECT * EXCLUDE (m, {n}), {n} + len(regexp_extract_all(m, '{find}')) AS {n}, {swap} AS m FROM ({sql})"
-    return sql
+    """doc_id, source, text, the counts and the masked text m, put together from the segments."""
+    item = "'[' || label || ']'" if mode == "full" else "'****' || CASE WHEN label = 'EMAIL' THEN regexp_extract(value, '@.*') ELSE right(value, 4) END"
+    counts = ", ".join(f"count(*) FILTER (label = '{c[2:].upper()}') AS {c}" for c in COUNTS)
+    return f"SELECT doc_id, source, coalesce(text, '') AS text, {counts}, string_agg(CASE WHEN label IS NULL THEN value ELSE {item} END, '' ORDER BY j, k) AS m FROM {_segments(given)} GROUP BY r, doc_id, source, text"
 
 
 def _found(pattern: str, name: str, given: str) -> str:
@@ -128,21 +146,20 @@ def _joined(pattern: str) -> str:
     return f"(SELECT doc_id, seq, replace(replace(item, '--', '-'), '  ', ' ') AS item FROM (SELECT doc_id, unnest(x) AS item, generate_subscripts(x, 1) - 1 AS seq FROM (SELECT doc_id, regexp_extract_all(regexp_replace(text, '([^0-9])', '\\1\\1', 'g'), '{pattern}', 2) AS x FROM {_OWN})))"
 
 
-_LUHN = """list_sum(list_transform(range(1, length(digits) + 1), lambda i: CASE WHEN i % 2 = 1 THEN substr(reverse(digits), i, 1)::INT
-  ELSE (2 * substr(reverse(digits), i, 1)::INT) // 10 + (2 * substr(reverse(digits), i, 1)::INT) % 10 END)) % 10 = 0 AS valid"""
+_LUHN = f"{_LUHN_OF.format('digits')} AS valid"
 
 ORACLES = {
     "mask_contacts": f"SELECT doc_id, {', '.join(COUNTS)}, sha256(m) AS digest FROM ({_chain('full')})",
     "mask_partial": f"SELECT doc_id, {', '.join(COUNTS)}, sha256(m) AS digest FROM ({_chain('partial')})",
     "mask_totals": f"SELECT source, {', '.join(f'sum({c})::BIGINT AS {c}' for c in COUNTS)} FROM ({_chain('full')}) GROUP BY source",
     "mask_identifiers": f"SELECT doc_id, {', '.join(COUNTS)}, m AS masked FROM ({_chain('full', _OWN)})",
+    "mask_findings": f"""
+SELECT doc_id, count(label) OVER w - 1 AS seq, label, (sum(length(value)) OVER w - length(value))::BIGINT AS start, length(value) AS length, value
+FROM {_segments()} WINDOW w AS (PARTITION BY r ORDER BY j, k) QUALIFY label IS NOT NULL""",
     "luhn_numbers": f"SELECT doc_id, seq, digits, {_LUHN} FROM {_found('[0-9]+', 'digits', 'documents')} WHERE length(digits) BETWEEN 12 AND 19",
     "card_numbers": f"SELECT *, {_LUHN} FROM (SELECT doc_id, seq, item, translate(item, ' -', '') AS digits FROM {_joined(shapes(CARDS, ' -'))})",
     "ssn_numbers": f"SELECT doc_id, seq, item, regexp_full_match(item, '{SSN}') AS valid FROM {_joined(shapes(SSNS, ' -'))}",
-    "routing_numbers": f"""
-SELECT doc_id, seq, digits, list_sum(list_transform(range(0, 9), lambda i: substr(digits, i + 1, 1)::INT * [3, 7, 1][i % 3 + 1])) % 10 = 0
-  AND (digits[1:2]::INT BETWEEN 0 AND 12 OR digits[1:2]::INT BETWEEN 21 AND 32 OR digits[1:2]::INT BETWEEN 61 AND 72 OR digits[1:2] = '80') AS valid
-FROM {_found('[0-9]+', 'digits', _OWN)} WHERE length(digits) = 9""",
+    "routing_numbers": f"SELECT doc_id, seq, digits, {_ABA.format('digits')} AS valid FROM {_found('[0-9]+', 'digits', _OWN)} WHERE length(digits) = 9",
     "calendar_dates": f"SELECT doc_id, seq, item, try_cast(item AS DATE) IS NOT NULL AS valid FROM {_joined(shapes(DATES, '-'))}",
     "entity_counts": "SELECT kind, count(*) AS n, count(DISTINCT value) AS n_values FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS kind, unnest(regexp_extract_all(coalesce(text, ''), '{p}')) AS value FROM documents" for k, p in ENTITIES) + ") GROUP BY kind",
     "number_survival_reformatted": f"""
