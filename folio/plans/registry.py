@@ -10,7 +10,7 @@ from ..operators import dedup, entities, masking, numbers, packing
 from ..sources.tables import table
 
 FLAGSHIP = "mask_contacts"
-TARGET, BLOCK = 65536, 4096
+TARGET = 65536
 COUNTS = masking.COUNTS
 
 
@@ -90,7 +90,11 @@ def exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pack_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_in_order(table(spark, sf_dir, "documents"), TARGET, BLOCK)
+    return packing.pack_in_order(table(spark, sf_dir, "documents"), TARGET)
+
+
+def pack_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.parts(pack_in_order(spark, sf_dir))
 
 
 def entity_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +105,7 @@ def number_survival(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.survival(_masked(spark, sf_dir, "full").select("doc_id", F.col("text").alias("before"), F.col("masked").alias("after")))
 
 
-QUERIES = {f.__name__: f for f in (mask_contacts, mask_partial, mask_totals, mask_findings, luhn_numbers, exact_copies, pack_in_order, entity_index, number_survival, card_numbers, ssn_numbers, routing_numbers, calendar_dates, mask_identifiers, entity_counts, number_survival_reformatted)}
+QUERIES = {f.__name__: f for f in (mask_contacts, mask_partial, mask_totals, mask_findings, luhn_numbers, exact_copies, pack_in_order, pack_parts, entity_index, number_survival, card_numbers, ssn_numbers, routing_numbers, calendar_dates, mask_identifiers, entity_counts, number_survival_reformatted)}
 
 
 _OWN = f"(SELECT o_orderkey AS doc_id, 'orders' AS source, {IDENTIFIERS} AS text, {REFORMATTED} AS after FROM orders)"
@@ -148,6 +152,13 @@ def _joined(pattern: str) -> str:
 
 _LUHN = f"{_LUHN_OF.format('digits')} AS valid"
 
+#: One fold over all documents, a row at a time.
+_FOLD = f"""
+WITH RECURSIVE d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS bytes, row_number() OVER (ORDER BY doc_id NULLS FIRST, octet_length(encode(coalesce(text, '')))) AS k FROM documents),
+p AS (SELECT doc_id, k, bytes, 0::BIGINT AS part, bytes AS total FROM d WHERE k = 1
+  UNION ALL SELECT d.doc_id, d.k, d.bytes, CASE WHEN total > 0 AND total + d.bytes > {TARGET} THEN part + 1 ELSE part END, CASE WHEN total > 0 AND total + d.bytes > {TARGET} THEN d.bytes ELSE total + d.bytes END
+  FROM p JOIN d ON d.k = p.k + 1)"""
+
 ORACLES = {
     "mask_contacts": f"SELECT doc_id, {', '.join(COUNTS)}, sha256(m) AS digest FROM ({_chain('full')})",
     "mask_partial": f"SELECT doc_id, {', '.join(COUNTS)}, sha256(m) AS digest FROM ({_chain('partial')})",
@@ -168,12 +179,8 @@ FROM (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(text, '{NUM
     "exact_copies": """
 SELECT doc_id, digest, min(doc_id) OVER w AS first_doc_id, count(*) OVER w AS n_copies, coalesce(doc_id > min(doc_id) OVER w, min(doc_id) OVER w IS NOT NULL) AS is_copy
 FROM (SELECT doc_id, sha256(coalesce(text, '')) AS digest FROM documents) WINDOW w AS (PARTITION BY digest)""",
-    "pack_in_order": f"""
-WITH RECURSIVE d AS (SELECT doc_id, doc_id // {BLOCK} AS block, octet_length(encode(coalesce(text, ''))) AS bytes, row_number() OVER (PARTITION BY doc_id // {BLOCK} ORDER BY doc_id) AS k FROM documents),
-p AS (SELECT doc_id, block, k, bytes, 0::BIGINT AS part, bytes AS total FROM d WHERE k = 1
-  UNION ALL SELECT d.doc_id, d.block, d.k, d.bytes, CASE WHEN total > 0 AND total + d.bytes > {TARGET} THEN part + 1 ELSE part END, CASE WHEN total > 0 AND total + d.bytes > {TARGET} THEN d.bytes ELSE total + d.bytes END
-  FROM p JOIN d ON d.block = p.block AND d.k = p.k + 1)
-SELECT doc_id, block, part, bytes FROM p""",
+    "pack_in_order": f"{_FOLD} SELECT doc_id, part, bytes FROM p",
+    "pack_parts": f"{_FOLD} SELECT part, min(doc_id) AS first_doc_id, max(doc_id) AS last_doc_id, count(*) AS n_docs, sum(bytes)::BIGINT AS bytes FROM p GROUP BY part",
     "entity_index": "SELECT doc_id, kind, seq, value FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(x) AS value, generate_subscripts(x, 1) - 1 AS seq FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{p}') AS x FROM documents)" for k, p in ENTITIES) + ")",
     "number_survival": f"""
 SELECT doc_id, len(b) AS total, len(list_intersect(b, a)) AS preserved, len(b) - len(list_intersect(b, a)) AS missing
