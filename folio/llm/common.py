@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.skew import heavy_keys, spread_join
+from ..operators.stage import BATCH, discard, shared_dir, staged  # noqa: F401
 
 #: Words of the license and near-duplicate operators, after A-Z is lower-cased (fixed value).
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -23,49 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Where the session names none: one of our own on a local master (tests), removed at exit; an error on a cluster, whose executors share no folder of one machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="folio-")
-        atexit.register(shutil.rmtree, root, True)
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-def staged(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
-    """df as a table written to the shared folder and read again: lineage ends here and a lost executor loses nothing.
-
-    batch bounds the rows of an Arrow batch while df is written, so that batches of long texts fit in a worker's memory.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/folio-{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(BATCH)
-    if batch and int(before) > batch:
-        spark.conf.set(BATCH, str(batch))
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(BATCH, before)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._folio_path = path
-    return out
-
-
-def discard(*frames: DataFrame) -> None:
-    """Deletes staged tables that nothing reads any more."""
-    for df in frames:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._folio_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def ascii_lower(text):
     """A-Z lower-cased, null as the empty string, nothing else changed."""
     return F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
