@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.patterns import AFTER, BEFORE, CARDS, CUE, CUES, DATES, EMAIL, ENTITIES, NUMBER_TOKEN, REACH, SSN, SSNS, numbers as candidates, shapes
-from ..operators import dedup, entities, masking, numbers, packing
+from ..operators import dedup, entities, masking, numbers, packing, terms
 from ..sources.tables import table
 
 FLAGSHIP = "mask_contacts"
@@ -97,6 +97,32 @@ def pack_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.parts(pack_in_order(spark, sf_dir))
 
 
+#: Rules from the benchmark's items: their first one, two and four words, each replaced by its item's number; SQL that Spark and DuckDB read alike.
+_WORDS = {1: "^[^ ]+", 2: "^[^ ]+ [^ ]+", 4: "^[^ ]+ [^ ]+ [^ ]+ [^ ]+"}
+_RULES = " UNION ALL ".join(f"SELECT regexp_extract(text, '{p}', 0) AS term, '[' || cast(item_id AS varchar(20)) || '.{k}]' AS replacement FROM benchmark" for k, p in _WORDS.items())
+
+
+def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items, union = table(spark, sf_dir, "benchmark"), None
+    for k, p in _WORDS.items():
+        part = items.select(F.regexp_extract("text", p, 0).alias("term"), F.concat(F.lit("["), F.col("item_id").cast("string"), F.lit(f".{k}]")).alias("replacement"))
+        union = part if union is None else union.unionByName(part)
+    return union
+
+
+def _replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return terms.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), _rules(spark, sf_dir))
+
+
+def replace_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    return _replaced(spark, sf_dir).select("doc_id", F.size("hits").cast("long").alias("n_terms"), n.alias("n"), F.sha2("replaced", 256).alias("digest"))
+
+
+def term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return terms.counts(_replaced(spark, sf_dir), _rules(spark, sf_dir))
+
+
 def entity_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.entities(table(spark, sf_dir, "documents"))
 
@@ -105,7 +131,7 @@ def number_survival(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.survival(_masked(spark, sf_dir, "full").select("doc_id", F.col("text").alias("before"), F.col("masked").alias("after")))
 
 
-QUERIES = {f.__name__: f for f in (mask_contacts, mask_partial, mask_totals, mask_findings, luhn_numbers, exact_copies, pack_in_order, pack_parts, entity_index, number_survival, card_numbers, ssn_numbers, routing_numbers, calendar_dates, mask_identifiers, entity_counts, number_survival_reformatted)}
+QUERIES = {f.__name__: f for f in (mask_contacts, mask_partial, mask_totals, mask_findings, luhn_numbers, exact_copies, pack_in_order, pack_parts, entity_index, number_survival, card_numbers, ssn_numbers, routing_numbers, calendar_dates, mask_identifiers, entity_counts, number_survival_reformatted, replace_terms, term_counts)}
 
 
 _OWN = f"(SELECT o_orderkey AS doc_id, 'orders' AS source, {IDENTIFIERS} AS text, {REFORMATTED} AS after FROM orders)"
@@ -159,6 +185,14 @@ p AS (SELECT doc_id, k, bytes, 0::BIGINT AS part, bytes AS total FROM d WHERE k
   UNION ALL SELECT d.doc_id, d.k, d.bytes, CASE WHEN total > 0 AND total + d.bytes > {TARGET} THEN part + 1 ELSE part END, CASE WHEN total > 0 AND total + d.bytes > {TARGET} THEN d.bytes ELSE total + d.bytes END
   FROM p JOIN d ON d.k = p.k + 1)"""
 
+#: rules; texts cut at the terms, longest first, into pieces of which every second one is a term.
+_TERMS = f"""
+WITH rules AS (SELECT term, min(replacement) AS replacement FROM ({_RULES}) WHERE term <> '' GROUP BY term),
+p AS (SELECT '(' || string_agg(regexp_escape(term), '|' ORDER BY length(term) DESC, term) || ')' AS p FROM rules),
+t AS (SELECT row_number() OVER () AS r, doc_id, string_split(regexp_replace(coalesce(text, ''), (SELECT p FROM p), chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS x FROM documents),
+s AS (SELECT r, doc_id, unnest(x) AS piece, generate_subscripts(x, 1) AS k FROM t),
+m AS (SELECT r, doc_id, k, piece, replacement, CASE WHEN k % 2 = 0 THEN term END AS term FROM s LEFT JOIN rules ON k % 2 = 0 AND term = piece)"""
+
 ORACLES = {
     "mask_contacts": f"SELECT doc_id, {', '.join(COUNTS)}, sha256(m) AS digest FROM ({_chain('full')})",
     "mask_partial": f"SELECT doc_id, {', '.join(COUNTS)}, sha256(m) AS digest FROM ({_chain('partial')})",
@@ -181,6 +215,8 @@ SELECT doc_id, digest, min(doc_id) OVER w AS first_doc_id, count(*) OVER w AS n_
 FROM (SELECT doc_id, sha256(coalesce(text, '')) AS digest FROM documents) WINDOW w AS (PARTITION BY digest)""",
     "pack_in_order": f"{_FOLD} SELECT doc_id, part, bytes FROM p",
     "pack_parts": f"{_FOLD} SELECT part, min(doc_id) AS first_doc_id, max(doc_id) AS last_doc_id, count(*) AS n_docs, sum(bytes)::BIGINT AS bytes FROM p GROUP BY part",
+    "replace_terms": f"{_TERMS} SELECT doc_id, count(DISTINCT term) AS n_terms, count(term) AS n, sha256(string_agg(CASE WHEN term IS NULL THEN piece ELSE replacement END, '' ORDER BY k)) AS digest FROM m GROUP BY r, doc_id",
+    "term_counts": f"{_TERMS} SELECT rules.term, rules.replacement, count(DISTINCT r) AS n_docs, count(r) AS n FROM rules LEFT JOIN m ON rules.term = m.term GROUP BY ALL",
     "entity_index": "SELECT doc_id, kind, seq, value FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(x) AS value, generate_subscripts(x, 1) - 1 AS seq FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{p}') AS x FROM documents)" for k, p in ENTITIES) + ")",
     "number_survival": f"""
 SELECT doc_id, len(b) AS total, len(list_intersect(b, a)) AS preserved, len(b) - len(list_intersect(b, a)) AS missing

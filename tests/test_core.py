@@ -21,7 +21,7 @@ def rows(frame):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "orders"):
+    for t in ("documents", "orders", "benchmark", "lineitem", "events", "labels"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     assert rows(QUERIES[name](spark, SF).toPandas()) == rows(con.sql(ORACLES[name]).df())
 
