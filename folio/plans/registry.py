@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.patterns import AFTER, BEFORE, CARDS, CUE, CUES, DATES, EMAIL, ENTITIES, NUMBER_TOKEN, REACH, SSN, SSNS, numbers as candidates, shapes
-from ..operators import dedup, entities, masking, numbers, packing, terms
+from ..operators import dedup, entities, masking, numbers, ordered, packing, sweep, terms, topk
 from ..sources.tables import table
 
 FLAGSHIP = "mask_contacts"
@@ -123,6 +123,73 @@ def term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.counts(_replaced(spark, sf_dir), _rules(spark, sf_dir))
 
 
+#: A secret as it is declared, and what one looks like where it isn't; words for lists of terms.
+SECRET, TOKEN = '(?i:token|secret|password|api_key) ?[=:] ?"?([0-9A-Za-z]{16,})', "[0-9A-Za-z]{16,}"
+LETTERS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+PER_KIND, BUDGET = 3, 5
+LIST, LEAST, SHARE = 25, 3, 0.5
+
+
+def sweep_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sweep.sweep(docs, sweep.declared(docs, SECRET), TOKEN, "[SECRET]").select("doc_id", "n_swept", F.sha2("swept", 256).alias("digest"))
+
+
+def entity_index_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.capped_index(table(spark, sf_dir, "documents"), PER_KIND, BUDGET)
+
+
+def common_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.common_words(table(spark, sf_dir, "documents"), "lang", LIST, LETTERS)
+
+
+def classify_by_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = common_words(spark, sf_dir).select(F.col("lang").alias("label"), "word")
+    return topk.classified(table(spark, sf_dir, "documents"), lists, LETTERS, LEAST, SHARE)
+
+
+#: A row of cells between pipes; seconds of a gap between events, in microseconds; identities over the lines of an order: name, one side, the other, tolerance.
+TABLE_LINE, GAP = "[|].*[|]", 1_800_000_000
+IDENTITIES = [("total", "total", "net", "0.01"), ("total_before_tax", "total", "gross - discount", "1000"), ("flags", "quantity", "returned + accepted + open", "0"), ("lines", "n_lines", "last_line", "0"), ("discount", "gross - discount", "net - tax", "0.01")]
+
+
+def _events(spark: SparkSession, sf_dir: str, kind: str | None = None) -> DataFrame:
+    events = table(spark, sf_dir, "events").withColumn("micros", F.unix_micros(F.col("ts").cast("timestamp")))
+    return events.where(F.col("event_type") == kind) if kind else events
+
+
+def _matched(direction: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        right = _events(spark, sf_dir, "view").select("user_id", "micros", F.col("event_id").alias("view_id"), F.col("value").alias("view_value"))
+        return ordered.asof(_events(spark, sf_dir, "click").select("event_id", "user_id", "micros"), right, ["user_id"], "micros", direction)
+
+    return query
+
+
+asof_views, next_views, nearest_views = map(_matched, ("backward", "forward", "nearest"))
+
+
+def event_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordered.runs(_events(spark, sf_dir), ["event_type"], "micros", GAP)
+
+
+def table_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordered.line_runs(table(spark, sf_dir, "documents"), TABLE_LINE, 2)
+
+
+#: One row an order: what its lines add up to, in exact decimals; SQL that Spark and DuckDB read alike.
+_LINE = "SELECT l_orderkey, l_linenumber, l_returnflag AS f, cast(l_quantity AS decimal(18, 2)) AS q, cast(l_extendedprice AS decimal(18, 2)) AS e, cast(l_discount AS decimal(18, 2)) AS d, cast(l_tax AS decimal(18, 2)) AS t FROM lineitem"
+_SUMS = f"""SELECT o_orderkey, max(cast(o_totalprice AS decimal(18, 2))) AS total, sum(e) AS gross, sum(cast(e * d AS decimal(18, 4))) AS discount, sum(cast(e * (1 - d) * t AS decimal(20, 6))) AS tax, sum(cast(e * (1 - d) * (1 + t) AS decimal(20, 6))) AS net,
+  sum(q) AS quantity, sum(CASE WHEN f = 'R' THEN q ELSE 0 END) AS returned, sum(CASE WHEN f = 'A' THEN q ELSE 0 END) AS accepted, sum(CASE WHEN f = 'N' THEN q ELSE 0 END) AS open, count(l_linenumber) AS n_lines, max(l_linenumber) AS last_line
+FROM orders LEFT JOIN ({_LINE}) ON l_orderkey = o_orderkey GROUP BY o_orderkey"""
+
+
+def order_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    views = {name: table(spark, sf_dir, name) for name in ("orders", "lineitem")}
+    sql = _SUMS.replace("FROM lineitem", "FROM {lineitem}").replace("FROM orders", "FROM {orders}")
+    return ordered.identities(spark.sql(sql, **views), IDENTITIES)
+
+
 def entity_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.entities(table(spark, sf_dir, "documents"))
 
@@ -131,7 +198,7 @@ def number_survival(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.survival(_masked(spark, sf_dir, "full").select("doc_id", F.col("text").alias("before"), F.col("masked").alias("after")))
 
 
-QUERIES = {f.__name__: f for f in (mask_contacts, mask_partial, mask_totals, mask_findings, luhn_numbers, exact_copies, pack_in_order, pack_parts, entity_index, number_survival, card_numbers, ssn_numbers, routing_numbers, calendar_dates, mask_identifiers, entity_counts, number_survival_reformatted, replace_terms, term_counts)}
+QUERIES = {f.__name__: f for f in (mask_contacts, mask_partial, mask_totals, mask_findings, luhn_numbers, exact_copies, pack_in_order, pack_parts, entity_index, number_survival, card_numbers, ssn_numbers, routing_numbers, calendar_dates, mask_identifiers, entity_counts, number_survival_reformatted, replace_terms, term_counts, sweep_secrets, entity_index_capped, common_words, classify_by_terms, event_runs, table_runs, order_identities)} | {"asof_views": asof_views, "next_views": next_views, "nearest_views": nearest_views}
 
 
 _OWN = f"(SELECT o_orderkey AS doc_id, 'orders' AS source, {IDENTIFIERS} AS text, {REFORMATTED} AS after FROM orders)"
@@ -193,6 +260,17 @@ t AS (SELECT row_number() OVER () AS r, doc_id, string_split(regexp_replace(coal
 s AS (SELECT r, doc_id, unnest(x) AS piece, generate_subscripts(x, 1) AS k FROM t),
 m AS (SELECT r, doc_id, k, piece, replacement, CASE WHEN k % 2 = 0 THEN term END AS term FROM s LEFT JOIN rules ON k % 2 = 0 AND term = piece)"""
 
+_ENTITIES = "SELECT doc_id, kind, seq, value FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(x) AS value, generate_subscripts(x, 1) - 1 AS seq FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{p}') AS x FROM documents)" for k, p in ENTITIES) + ")"
+_lower = lambda c: f"translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_COMMON = f"""
+WITH c AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n_docs DESC, word) AS rank FROM (SELECT lang, word, count(*) AS n_docs FROM (SELECT lang, unnest(list_distinct(regexp_extract_all({_lower("coalesce(text, '')")}, '{LETTERS}'))) AS word FROM documents) GROUP BY ALL) QUALIFY rank <= {LIST})"""
+
+#: Clicks with the last view at or before and the first at or after.
+_NEAR = """
+WITH e AS (SELECT event_id, user_id, epoch_us(ts) AS micros, event_type, value FROM events),
+v AS (SELECT user_id, micros, max({'micros': micros, 'view_id': event_id, 'view_value': value}) AS v FROM e WHERE event_type = 'view' GROUP BY user_id, micros)
+SELECT event_id, user_id, micros, (SELECT max_by(v, v.micros) FROM v WHERE v.user_id = e.user_id AND v.micros <= e.micros) AS back, (SELECT min_by(v, v.micros) FROM v WHERE v.user_id = e.user_id AND v.micros >= e.micros) AS ahead FROM e WHERE event_type = 'click'"""
+
 ORACLES = {
     "mask_contacts": f"SELECT doc_id, {', '.join(COUNTS)}, sha256(m) AS digest FROM ({_chain('full')})",
     "mask_partial": f"SELECT doc_id, {', '.join(COUNTS)}, sha256(m) AS digest FROM ({_chain('partial')})",
@@ -217,7 +295,40 @@ FROM (SELECT doc_id, sha256(coalesce(text, '')) AS digest FROM documents) WINDOW
     "pack_parts": f"{_FOLD} SELECT part, min(doc_id) AS first_doc_id, max(doc_id) AS last_doc_id, count(*) AS n_docs, sum(bytes)::BIGINT AS bytes FROM p GROUP BY part",
     "replace_terms": f"{_TERMS} SELECT doc_id, count(DISTINCT term) AS n_terms, count(term) AS n, sha256(string_agg(CASE WHEN term IS NULL THEN piece ELSE replacement END, '' ORDER BY k)) AS digest FROM m GROUP BY r, doc_id",
     "term_counts": f"{_TERMS} SELECT rules.term, rules.replacement, count(DISTINCT r) AS n_docs, count(r) AS n FROM rules LEFT JOIN m ON rules.term = m.term GROUP BY ALL",
-    "entity_index": "SELECT doc_id, kind, seq, value FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(x) AS value, generate_subscripts(x, 1) - 1 AS seq FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{p}') AS x FROM documents)" for k, p in ENTITIES) + ")",
+    "sweep_secrets": f"""
+WITH terms AS (SELECT DISTINCT unnest(regexp_extract_all(coalesce(text, ''), '{SECRET}', 1)) AS term FROM documents),
+t AS (SELECT row_number() OVER () AS r, doc_id, string_split(regexp_replace(coalesce(text, ''), '({TOKEN})', chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS x FROM documents),
+s AS (SELECT r, doc_id, unnest(x) AS piece, generate_subscripts(x, 1) AS k FROM t)
+SELECT doc_id, count(term) AS n_swept, sha256(string_agg(CASE WHEN term IS NULL THEN piece ELSE '[SECRET]' END, '' ORDER BY k)) AS digest FROM s LEFT JOIN terms ON k % 2 = 0 AND term = piece GROUP BY r, doc_id""",
+    "entity_index_capped": f"""
+WITH f AS (SELECT doc_id, kind, value, min(seq) AS seq FROM ({_ENTITIES}) GROUP BY ALL),
+c AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY doc_id, kind ORDER BY seq) <= {PER_KIND})
+SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq, kind) AS place FROM c QUALIFY place <= {BUDGET}""",
+    "common_words": f"{_COMMON} SELECT lang, word, n_docs, rank FROM c",
+    "classify_by_terms": f"""
+{_COMMON},
+t AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+l AS (SELECT r, unnest(x) AS part, generate_subscripts(x, 1) AS line FROM (SELECT r, string_split(coalesce(text, ''), chr(10)) AS x FROM t)),
+m AS (SELECT r, line, lang AS label, word FROM (SELECT r, line, unnest(list_distinct(regexp_extract_all({_lower('part')}, '{LETTERS}'))) AS word FROM l) JOIN c USING (word) WHERE lang IS NOT NULL),
+s AS (SELECT r, label, count(DISTINCT word) AS score FROM m GROUP BY r, label QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, label) = 1),
+b AS (SELECT r, line, label, count(*) AS n FROM m GROUP BY r, line, label QUALIFY row_number() OVER (PARTITION BY r, line ORDER BY n DESC, label) = 1),
+v AS (SELECT r, label AS vote, n_votes, n_parts FROM (SELECT r, label, count(*) AS n_votes, sum(count(*)) OVER (PARTITION BY r) AS n_parts FROM b GROUP BY r, label) QUALIFY row_number() OVER (PARTITION BY r ORDER BY n_votes DESC, label) = 1),
+o AS (SELECT doc_id, CASE WHEN score >= {LEAST} THEN label END AS label, coalesce(score, 0) AS score, coalesce(n_parts, 0)::BIGINT AS n_parts, coalesce(n_votes, 0) AS n_votes, vote FROM t LEFT JOIN s USING (r) LEFT JOIN v USING (r))
+SELECT *, coalesce(vote = label AND n_votes >= n_parts * {SHARE}, false) AS settled FROM o""",
+    "asof_views": f"SELECT event_id, user_id, micros, back.micros AS matched_at, back.view_id, back.view_value FROM ({_NEAR})",
+    "next_views": f"SELECT event_id, user_id, micros, ahead.micros AS matched_at, ahead.view_id, ahead.view_value FROM ({_NEAR})",
+    "nearest_views": f"SELECT event_id, user_id, micros, x.micros AS matched_at, x.view_id, x.view_value FROM (SELECT *, CASE WHEN back IS NOT NULL AND (ahead IS NULL OR micros - back.micros <= ahead.micros - micros) THEN back ELSE ahead END AS x FROM ({_NEAR}))",
+    "event_runs": f"""
+WITH e AS (SELECT event_type, epoch_us(ts) AS m FROM events),
+f AS (SELECT *, CASE WHEN m - lag(m) OVER w > {GAP} OR lag(m) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM e WINDOW w AS (PARTITION BY event_type ORDER BY m)),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY event_type ORDER BY m)::BIGINT AS run FROM f)
+SELECT event_type, run, min(m) AS first, max(m) AS last, count(*) AS n FROM r GROUP BY event_type, run""",
+    "table_runs": f"""
+WITH l AS (SELECT r, doc_id, unnest(x) AS t, generate_subscripts(x, 1) - 1 AS line FROM (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)),
+h AS (SELECT *, line - row_number() OVER (PARTITION BY r ORDER BY line) AS g FROM l WHERE regexp_matches(t, '{TABLE_LINE}'))
+SELECT doc_id, min(line) AS first_line, count(*) AS n_lines, sum(length(t))::BIGINT AS n_chars FROM h GROUP BY r, doc_id, g HAVING count(*) >= 2""",
+    "order_identities": " UNION ALL ".join(f"SELECT '{n}' AS rule, count(*) AS n, count(abs(({a}) - ({b}))) AS testable, count(*) FILTER (abs(({a}) - ({b})) <= {t}) AS passed, max(abs(({a}) - ({b})))::DOUBLE AS worst FROM ({_SUMS})" for n, a, b, t in IDENTITIES),
+    "entity_index": _ENTITIES,
     "number_survival": f"""
 SELECT doc_id, len(b) AS total, len(list_intersect(b, a)) AS preserved, len(b) - len(list_intersect(b, a)) AS missing
 FROM (SELECT doc_id, list_distinct(regexp_extract_all(text, '{NUMBER_TOKEN}')) AS b, list_distinct(regexp_extract_all(m, '{NUMBER_TOKEN}')) AS a FROM ({_chain('full')}))""",
