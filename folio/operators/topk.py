@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .entities import entities
+from .stage import staged
 
 
 def top(rows: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
@@ -54,14 +55,14 @@ def classified(docs: DataFrame, lists: DataFrame, pattern: str, least: int, shar
     texts have no label; repeated rows are judged each; extra columns are ignored; an empty table gives no rows. The lists are
     broadcast; more than most_terms words raise an error.
     """
-    lists = lists.where("label is not null and word is not null").select("label", "word").distinct()
+    lists = staged(lists.where("label is not null and word is not null").select("label", "word").distinct(), "lists")
     size = lists.count()
     if size > most_terms:
         raise ValueError(f"{size} terms, over {most_terms}")
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     # words of each line, met with the lists before any shuffle
     lines = rows.select("row", F.posexplode(F.split("text", "\n", -1)).alias("line", "part"))
-    met = lines.select("row", "line", F.explode(words(F.col("part"), pattern)).alias("word")).join(F.broadcast(lists), "word")
+    met = staged(lines.select("row", "line", F.explode(words(F.col("part"), pattern)).alias("word")).join(F.broadcast(lists), "word"), "met")
     rank = lambda c: [F.desc(c), F.col("label")]
     best = lambda df, keys, c: top(df, keys, rank(c), 1).drop("rank")
     score = best(met.groupBy("row", "label").agg(F.count_distinct("word").alias("score")), ["row"], "score")
