@@ -11,7 +11,8 @@ dealt into parts where they meet their group's place.
 
 Defined results: null text is the empty text; a null role is rendered as a user without name and is no participant; a null
 conversation id is a conversation of its own; null turns come first; rows of equal turn are ordered by a checksum of role and
-text; repeated rows are kept; the text's own "<|" is written "<||", so that no text can forge a marker; a conversation without
+text; repeated rows are kept; the text's own "<|" is written "<||" and a name in a head has % < > | and line breaks percent-encoded, so that neither a text nor
+a role can forge a marker (the column name has the role as it is); a conversation without
 participants gives no rows; extra columns are ignored, whatever their names; an empty table gives no rows.
 """
 
@@ -24,6 +25,8 @@ from ..operators.skew import heavy_keys, spread_join
 from .common import table
 
 BLOCK, RUN = 64, 1024
+#: How a name's characters that make markers and lines are written in a head, the escape itself first (percent-encoding, RFC 3986).
+ESCAPES = {c: f"%{ord(c):02X}" for c in "%<>|\r\n"}
 
 
 def rotate(turns: DataFrame) -> DataFrame:
@@ -41,7 +44,10 @@ def rotate(turns: DataFrame) -> DataFrame:
     own = F.col("role").eqNullSafe(F.col("perspective"))
     r = r.withColumn("speaker", F.when(own, "assistant").when(F.col("role") == "system", "system").otherwise("user"))
     r = r.withColumn("name", F.when(F.col("speaker") == "user", F.col("role")))
-    head = F.concat(F.lit("<|"), F.col("speaker"), F.coalesce(F.concat(F.lit(" name="), F.col("name")), F.lit("")), F.lit("|>\n"))
+    shown = F.col("name")
+    for c, code in ESCAPES.items():
+        shown = F.replace(shown, F.lit(c), F.lit(code))
+    head = F.concat(F.lit("<|"), F.col("speaker"), F.coalesce(F.concat(F.lit(" name="), shown), F.lit("")), F.lit("|>\n"))
     r = r.withColumn("head", F.length(head)).withColumn("segment", F.concat(head, "body", F.lit("<|end|>\n"))).withColumn("each", F.length("segment").cast("long")).withColumn("n", F.col("k") * F.col("each")).drop("body", "role")
     rows = ["conv_id", "perspective", "block", "turn", "digit"]
     low = r.groupBy(*rows).agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
@@ -68,14 +74,17 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate(table(spark, sf_dir, "conversations"))
 
 
-ORACLE = """
+_SHOWN = "name"
+for _c in ESCAPES:
+    _SHOWN = f"replace({_SHOWN}, chr({ord(_c)}), '{ESCAPES[_c]}')"
+ORACLE = f"""
 WITH t AS (SELECT conv_id, turn, role, replace(coalesce(text, ''), '<|', '<||') AS body FROM conversations),
 s AS (SELECT *, md5(coalesce(role, '') || ':' || body) AS sum FROM t),
 p AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role IS NOT NULL AND role <> 'system'),
 r AS (SELECT s.conv_id, perspective, turn, sum, body, CASE WHEN role IS NOT DISTINCT FROM perspective THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user' END AS speaker, role
   FROM s JOIN p ON s.conv_id IS NOT DISTINCT FROM p.conv_id),
 h AS (SELECT *, CASE WHEN speaker = 'user' THEN role END AS name FROM r),
-g AS (SELECT *, '<|' || speaker || coalesce(' name=' || name, '') || '|>' || chr(10) AS head FROM h),
+g AS (SELECT *, '<|' || speaker || coalesce(' name=' || {_SHOWN}, '') || '|>' || chr(10) AS head FROM h),
 x AS (SELECT *, head || body || '<|end|>' || chr(10) AS segment FROM g),
 w AS (SELECT *, length(segment) AS n, row_number() OVER o - 1 AS position, coalesce(sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, sum, segment ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
   FROM x WINDOW o AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, sum, segment))
