@@ -1,7 +1,8 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
-Measures of each whole text are compared with cutoffs. The labelled holdout of each stratum (a language) is halved by a hash of
-doc_id. The first half proposes: for every measure the cutoff that gains most (bad texts rejected less good texts rejected, the
+Measures of each whole text are compared with cutoffs. The labelled holdout of each stratum (a language) consists of different texts:
+copies of a text are one trial, with its lowest label, and a hash of the text halves the holdout, so that no text stands in both
+halves and trials are independent. The first half proposes: for every measure the cutoff that gains most (bad texts rejected less good texts rejected, the
 largest of equals) among those that reject at most alpha / (number of measures) of its good texts; these cutoffs are put in
 order, those that reject fewest good texts first, and one stays if, of the texts that none before it rejects, it rejects more bad
 than good ones. The second half tests them as a fixed sequence: the first cutoff alone, the
@@ -10,8 +11,8 @@ alpha, at level delta / (number of strata), until a test fails; the cutoffs befo
 needs no correction within a stratum, and Bonferroni corrects between strata: so with probability 1 - delta no stratum loses
 more than alpha of the good texts that pass the base rules.
 
-Defined results: null text has no words and fails the base rules; a null language is a stratum of its own; documents labelled
-more than once count with their lowest label; strata without enough labels have no cutoffs, so only the base rules reject
+Defined results: null text has no words and fails the base rules; a null language is a stratum of its own; documents and texts labelled
+more than once count once, with their lowest label; strata without enough labels have no cutoffs, so only the base rules reject
 there; repeated rows are judged alike; an empty table gives no rows.
 """
 
@@ -43,7 +44,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """docs with the counts of COUNTS and base_failed; every other column stays as it is."""
+    """docs with the counts of COUNTS, text_md5 and base_failed; every other column stays as it is."""
     own = ["_t", "_w", "_h", "_s", "_p", "_l"]
     without = lambda chars: F.length("_t") - F.length(F.translate("_t", chars, ""))
     d = docs.withColumn("_t", F.coalesce(F.col("text"), F.lit("")))
@@ -67,6 +68,7 @@ def measured(docs: DataFrame) -> DataFrame:
         "n_marks": without("!?").cast("long"),
         "n_pipes": without("|").cast("long"),
         "n_capitals": without("ABCDEFGHIJKLMNOPQRSTUVWXYZ").cast("long"),
+        "text_md5": F.md5(F.col("_t").cast("binary")),
     }).drop(*own)
     return d.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
@@ -101,10 +103,13 @@ def _beside(docs: DataFrame, at: DataFrame, most_broadcast: int = 200_000) -> Da
 
 
 def thresholds(counts: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """(lang, measure, cutoff) admitted by the holdout; counts: doc_id, lang and measured() columns."""
+    """(lang, measure, cutoff) admitted by the holdout; counts: doc_id, lang and measured() columns (without text_md5 each doc_id is a text of its own)."""
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    half = (F.md5(F.col("doc_id").cast("string")) < "8").alias("learn")
-    held = staged(counts.where("not base_failed").join(known, "doc_id").select("lang", "quality", half, *[_rate(m).alias(m) for m in MEASURES]), "holdout")
+    key = F.col("text_md5") if "text_md5" in counts.columns else F.md5(F.col("doc_id").cast("string"))
+    held = counts.where("not base_failed").join(known, "doc_id").select("lang", "quality", key.alias("key"), *[_rate(m).alias(m) for m in MEASURES])
+    # equal texts have equal rates: one row a text and stratum, with map-side combine
+    held = held.groupBy("lang", "key").agg(F.min("quality").alias("quality"), *[F.max(m).alias(m) for m in MEASURES])
+    held = staged(held.select("lang", "quality", (F.col("key") < "8").alias("learn"), *MEASURES), "holdout")
     # one row per stratum, measure and distinct rate: pre-aggregated before anything is crossed with the grid
     per = held.where("learn").select("lang", "quality", F.explode(F.map_from_arrays(F.array(*[F.lit(m) for m in MEASURES]), F.array(*MEASURES))).alias("measure", "rate"))
     per = per.groupBy("lang", "measure", F.least("rate", F.lit(1001)).alias("rate")).agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad"))
@@ -171,14 +176,15 @@ r AS (SELECT doc_id, lang, t, len(w) AS n_words, len(l) AS n_lines, len(l) - len
 g AS (SELECT doc_id, tri, i FROM (SELECT doc_id, unnest(tri) AS tri, generate_subscripts(tri, 1) AS i FROM r)),
 d AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, tri) > 1),
 c AS (SELECT doc_id, count(DISTINCT i + o) AS n_repeat_words FROM d, (VALUES (0), (1), (2)) v(o) GROUP BY doc_id),
-m AS (SELECT doc_id, lang, n_words, n_lines, n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+m AS (SELECT doc_id, lang, md5(t) AS key, n_words, n_lines, n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
   length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g')) AS word_chars, length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols,
   length(t) - length(translate(t, '!?', '')) AS n_marks, length(t) - length(translate(t, '|', '')) AS n_pipes,
   length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS n_capitals FROM r LEFT JOIN c USING (doc_id)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   {", ".join(f"(1000 * {a}) // greatest({o}, 1) AS {m}" for m, (a, o) in MEASURES.items())} FROM m),
 k AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
-h AS (SELECT b.*, quality, md5(doc_id::VARCHAR) < '8' AS learn, row_number() OVER () AS r FROM b JOIN k USING (doc_id) WHERE NOT base_failed),
+h0 AS (SELECT lang, key, min(quality) AS quality, {", ".join(f"max({m}) AS {m}" for m in MEASURES)} FROM b JOIN k USING (doc_id) WHERE NOT base_failed GROUP BY lang, key),
+h AS (SELECT *, key < '8' AS learn, row_number() OVER () AS r FROM h0),
 u AS ({" UNION ALL ".join(f"SELECT r, lang, quality, learn, '{m}' AS measure, {m} AS rate FROM h" for m in MEASURES)}),
 f AS (SELECT lang, measure, cutoff, count(*) FILTER (quality = 1) AS n, count(*) FILTER (quality = 1 AND rate > cutoff) AS k, count(*) FILTER (quality = 0 AND rate > cutoff) AS caught
   FROM u, (SELECT unnest({GRID}) AS cutoff) WHERE learn GROUP BY ALL),
