@@ -26,7 +26,7 @@ SEED = "folio-1"
 
 
 def interleave(docs: DataFrame, shards: int = 24, seed: str = SEED, bucket_rows: int = 2000) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard, source, place of every row of docs(doc_id, text, source)."""
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row of docs(doc_id, text, source)."""
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), "source",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(8)).cast("long").alias("size"),
