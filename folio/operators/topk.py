@@ -74,3 +74,32 @@ def classified(docs: DataFrame, lists: DataFrame, pattern: str, least: int, shar
     out = rows.select("doc_id", "row").join(each, F.col("row") == F.col("_row"), "left").withColumn("label", label)
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return out.select("doc_id", "label", zero("score"), zero("n_parts"), zero("n_votes"), "vote", F.coalesce((F.col("vote") == F.col("label")) & (F.col("n_votes") >= F.col("n_parts") * F.lit(share)), F.lit(False)).alias("settled"))
+
+
+def dominant_series(docs: DataFrame, key: str, pattern: str, share: float, digits: int = 9) -> DataFrame:
+    """key, n_labels, series, n, n_numbers, first, last, missing, density, dominant of every key of docs(key, text): its commonest series of labelled numbers.
+
+    A label is what pattern finds: letters and signs (the series, A-Z lower-cased) and then a number; those of over `digits` digits (18 at most) are none.
+    The commonest series has most labels; ties go to that of more different numbers, then to the smaller one by code points. It is
+    dominant if it has `share` of the key's n_labels at least. first and last are its smallest and largest number, missing those between them that don't
+    occur, density the share of those that do. A key without labels has n_labels 0, a null series and is not dominant; null keys are a key; null
+    and empty texts have no label; repeated rows count each; extra columns are ignored; an empty table gives no rows.
+    Labels are counted by number with map-side combine, then by series, so neither a key nor a series is ever gathered.
+    """
+    label = F.explode_outer(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(pattern), F.lit(0)))
+    each = docs.select(F.struct(F.col(key)).alias("_key"), label.alias("x")).select("_key", F.regexp_replace("x", "[0-9]+$", "").alias("series"), F.regexp_extract("x", "[0-9]*$", 0).alias("number"))
+    each = each.withColumn("known", F.coalesce(F.length("number").between(1, digits), F.lit(False)))
+    known = lambda c: F.when(F.col("known"), F.col(c))
+    small = F.translate("series", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    # what isn't a label keeps its key, as a row without series
+    numbers = each.select("_key", F.when(F.col("known"), small).alias("series"), known("number").cast("long").alias("number")).groupBy("_key", "series", "number").agg(F.count(F.lit(1)).alias("n"))
+    series = numbers.groupBy("_key", "series").agg(
+        F.sum(F.when(F.col("series").isNull(), 0).otherwise(F.col("n"))).alias("n"), F.count("number").alias("n_numbers"), F.min("number").alias("first"), F.max("number").alias("last"))
+    series = staged(series, "series")
+    total = series.groupBy("_key").agg(F.sum("n").alias("n_labels")).withColumnRenamed("_key", "_of")
+    best = top(series, ["_key"], [F.desc("n"), F.desc("n_numbers"), F.asc_nulls_last("series")], 1).drop("rank")
+    span = F.col("last") - F.col("first") + 1
+    out = best.join(total, F.col("_key") == F.col("_of"))
+    return out.select(
+        F.col(f"_key.{key}").alias(key), "n_labels", "series", "n", "n_numbers", "first", "last", (span - F.col("n_numbers")).alias("missing"), (F.col("n_numbers") / span).alias("density"),
+        ((F.col("n") > 0) & (F.col("n") >= F.col("n_labels") * F.lit(share))).alias("dominant"))

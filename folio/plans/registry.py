@@ -173,6 +173,14 @@ def event_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.runs(_events(spark, sf_dir), ["event_type"], "micros", GAP)
 
 
+#: A labelled number: a word of two letters or more, a sign or none, digits; the share of a key's labels that makes a series dominant.
+LABELLED, DOMINANT = "[A-Za-z]{2,}[ #-]?[0-9]+", 0.5
+
+
+def dominant_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.dominant_series(table(spark, sf_dir, "documents"), "source", LABELLED, DOMINANT)
+
+
 def table_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.line_runs(table(spark, sf_dir, "documents"), TABLE_LINE, 2)
 
@@ -198,7 +206,7 @@ def number_survival(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.survival(_masked(spark, sf_dir, "full").select("doc_id", F.col("text").alias("before"), F.col("masked").alias("after")))
 
 
-QUERIES = {f.__name__: f for f in (mask_contacts, mask_partial, mask_totals, mask_findings, luhn_numbers, exact_copies, pack_in_order, pack_parts, entity_index, number_survival, card_numbers, ssn_numbers, routing_numbers, calendar_dates, mask_identifiers, entity_counts, number_survival_reformatted, replace_terms, term_counts, sweep_secrets, entity_index_capped, common_words, classify_by_terms, event_runs, table_runs, order_identities)} | {"asof_views": asof_views, "next_views": next_views, "nearest_views": nearest_views}
+QUERIES = {f.__name__: f for f in (mask_contacts, mask_partial, mask_totals, mask_findings, luhn_numbers, exact_copies, pack_in_order, pack_parts, entity_index, number_survival, card_numbers, ssn_numbers, routing_numbers, calendar_dates, mask_identifiers, entity_counts, number_survival_reformatted, replace_terms, term_counts, sweep_secrets, entity_index_capped, common_words, classify_by_terms, event_runs, table_runs, order_identities, dominant_series)} | {"asof_views": asof_views, "next_views": next_views, "nearest_views": nearest_views}
 
 
 _OWN = f"(SELECT o_orderkey AS doc_id, 'orders' AS source, {IDENTIFIERS} AS text, {REFORMATTED} AS after FROM orders)"
@@ -328,6 +336,13 @@ WITH l AS (SELECT r, doc_id, unnest(x) AS t, generate_subscripts(x, 1) - 1 AS li
 h AS (SELECT *, line - row_number() OVER (PARTITION BY r ORDER BY line) AS g FROM l WHERE regexp_matches(t, '{TABLE_LINE}'))
 SELECT doc_id, min(line) AS first_line, count(*) AS n_lines, sum(length(t))::BIGINT AS n_chars FROM h GROUP BY r, doc_id, g HAVING count(*) >= 2""",
     "order_identities": " UNION ALL ".join(f"SELECT '{n}' AS rule, count(*) AS n, count(abs(({a}) - ({b}))) AS testable, count(*) FILTER (abs(({a}) - ({b})) <= {t}) AS passed, max(abs(({a}) - ({b})))::DOUBLE AS worst FROM ({_SUMS})" for n, a, b, t in IDENTITIES),
+    "dominant_series": f"""
+WITH l AS (SELECT source, unnest(regexp_extract_all(coalesce(text, ''), '{LABELLED}')) AS x FROM documents),
+n AS (SELECT source, {_lower("regexp_replace(x, '[0-9]+$', '')")} AS series, regexp_extract(x, '[0-9]+$') AS number FROM l),
+s AS (SELECT source, series, count(*) AS n, count(DISTINCT number::BIGINT) AS n_numbers, min(number::BIGINT) AS first, max(number::BIGINT) AS last FROM n WHERE length(number) <= 9 GROUP BY ALL),
+b AS (SELECT *, sum(n) OVER (PARTITION BY source)::BIGINT AS n_labels FROM s QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, n_numbers DESC, series) = 1)
+SELECT d.source, coalesce(n_labels, 0) AS n_labels, series, coalesce(n, 0) AS n, coalesce(n_numbers, 0) AS n_numbers, first, last, last - first + 1 - n_numbers AS missing, n_numbers / (last - first + 1) AS density, coalesce(n >= n_labels * {DOMINANT}, false) AS dominant
+FROM (SELECT DISTINCT source FROM documents) d LEFT JOIN b ON d.source IS NOT DISTINCT FROM b.source""",
     "entity_index": _ENTITIES,
     "number_survival": f"""
 SELECT doc_id, len(b) AS total, len(list_intersect(b, a)) AS preserved, len(b) - len(list_intersect(b, a)) AS missing

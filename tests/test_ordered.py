@@ -1,6 +1,7 @@
 """As-of joins, runs and identities against plain Python, with hot keys over many partitions, ties, nulls and repeats."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -122,3 +123,27 @@ def test_classified(spark):
     assert topk.classified(docs.limit(0), lists, "[a-z]+", 2, 0.6).count() == 0
     with pytest.raises(ValueError):
         topk.classified(docs, lists, "[a-z]+", 2, 0.6, most_terms=2)
+
+
+def test_dominant_series(spark):
+    """Against plain Python: a hot key, ties by numbers and by name, nulls, repeats, long numbers and keys without labels."""
+    rng = random.Random(3)
+    rows = [("hot" if i % 3 else None if i % 2 else f"k{i % 7}", " ".join(f"{rng.choice(['Page ', 'page ', 'No-', 'ref'])}{rng.randrange(40):0{rng.randrange(1, 6)}d}" for _ in range(rng.randrange(4)))) for i in range(600)]
+    rows += [("tie", "aa1 aa1 bb1 bb2"), ("name", "bb7 aa9"), ("long", "cc1234567890 dd5"), ("only", "cc1234567890"), ("none", None), ("none", ""), ("plain", "x 5 and 6"), ("zero", "aa007 aa7"), ("zero", "aa007 aa7")]
+    want = {}
+    for k in {r[0] for r in rows}:
+        each = [re.fullmatch("(.*?)([0-9]+)", x).groups() for q, t in rows if q == k for x in re.findall("[A-Za-z]{2,}[ #-]?[0-9]+", t or "")]
+        each = [(s.lower(), int(n)) for s, n in each if len(n) <= 9]
+        numbers = {s: {n for t, n in each if t == s} for s, _ in each}
+        count = {s: sum(t == s for t, _ in each) for s in numbers}
+        if not each:
+            want[k] = (0, None, 0, 0, None, None, None, None, False)
+            continue
+        s = min(numbers, key=lambda s: (-count[s], -len(numbers[s]), s))
+        lo, hi = min(numbers[s]), max(numbers[s])
+        want[k] = (len(each), s, count[s], len(numbers[s]), lo, hi, hi - lo + 1 - len(numbers[s]), len(numbers[s]) / (hi - lo + 1), count[s] >= 0.5 * len(each))
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "key string, text string, series string").repartition(7)
+    got = topk.dominant_series(docs, "key", "[A-Za-z]{2,}[ #-]?[0-9]+", 0.5)
+    assert {r[0]: tuple(r[1:]) for r in got.collect()} == want and got.count() == len(want)
+    assert want["tie"][1] == "bb" and want["name"][1] == "aa" and want["zero"][3] == 1
+    assert topk.dominant_series(docs.limit(0), "key", "[a-z]+[0-9]+", 0.5).count() == 0
