@@ -173,35 +173,31 @@ def children(nodes) -> list[list[int]]:
     return out
 
 
-def _row(w, above):
-    """The next row of the alignment's table: the best sums of weights with one more element on the left."""
-    out = np.empty_like(above)
-    out[0] = 0
-    np.maximum.accumulate(np.maximum(above[1:], above[:-1] + w), out=out[1:])
-    return out
-
-
-def _rows(w, rows, y):
-    out = np.zeros(len(y) + 1, np.int64)
+def _rows(dense, rows, c, d, turned=False):
+    """The last row of the alignment's table: the best sums of weights of all of rows with more and more of the elements c to d."""
+    out = np.zeros(d - c + 1, np.int64)
     for p in rows:
-        out = _row(w[p][y], out)
+        w = dense(p, c, d)
+        if w is not None:  # a row of zeros changes nothing, as sums never fall along it
+            out[1:] = np.maximum.accumulate(np.maximum(out[1:], out[:-1] + (w[::-1] if turned else w)))
     return out
 
 
-def align(w, x, y) -> list[tuple[int, int]]:
-    """Positions (p, q) of the order-keeping pairs of x and y with the largest sum of w[x[p], y[q]]; memory grows with len(x) + len(y)."""
-    out, todo = [], [(0, len(x), 0, len(y))]
+def align(dense, n: int, m: int) -> list[tuple[int, int]]:
+    """Positions (p, q) of the order-keeping pairs of n and m elements with the largest sum of weights; dense(p, c, d) gives those of p
+    with c to d, None if all are 0. Memory grows with n + m."""
+    out, todo = [], [(0, n, 0, m)]
     while todo:
         a, b, c, d = todo.pop()
         if a == b or c == d:
             continue
         if b - a == 1:
-            q = int(w[x[a]][y[c:d]].argmax())
-            if w[x[a], y[c + q]]:
-                out.append((a, c + q))
+            w = dense(a, c, d)
+            if w is not None:
+                out.append((a, c + int(w.argmax())))
             continue
         mid = (a + b) // 2
-        q = c + int((_rows(w, x[a:mid], y[c:d]) + _rows(w, x[mid:b][::-1], y[c:d][::-1])[::-1]).argmax())
+        q = c + int((_rows(dense, range(a, mid), c, d) + _rows(dense, range(b - 1, mid - 1, -1), c, d, True)[::-1]).argmax())
         todo += [(a, mid, c, q), (mid, b, q, d)]
     return out
 
@@ -222,16 +218,20 @@ def match(a, b) -> dict[int, int]:
     """Simple tree matching: b's nodes that match a's, by the largest order-keeping match of equal keys from the roots down.
 
     Equal subtrees at either end of two lists of children are paired without a table, which loses nothing: no other partner has
-    a larger match. Weights are kept per pair of different subtrees, and neither depth nor size is bounded.
+    a larger match. No table of two lists is held, only its rows, one at a time. What is held per pair, in four bytes, is the weight
+    of two different subtrees of one key that both have children; time grows with the product of two lists' lengths. Neither
+    depth nor size is bounded.
     """
     known: dict = {}
     ia, ib = classes(a, known), classes(b, known)
-    keys, kids, nodes = [], [], []
+    keys, kids, nodes, place, count = [], [], [], [], Counter()
     for key, below in known:
         keys.append(key)
         kids.append(below)
         nodes.append(1 + sum(nodes[c] for c in below))
-    weight: dict = {}
+        place.append(count[key])  # among the classes of its key that have children
+        count[key] += bool(below)
+    weights: dict = {}  # by key, the weights of pairs of its classes that have children; 0: not known yet
 
     def ends(x, y):
         n, head, tail = min(len(x), len(y)), 0, 0
@@ -241,35 +241,64 @@ def match(a, b) -> dict[int, int]:
             tail += 1
         return head, tail
 
-    def quick(i, j):
-        """The weight of a pair where it needs no table or is known, else None."""
-        return nodes[i] if i == j else 0 if keys[i] != keys[j] else 1 if not kids[i] or not kids[j] else weight.get((i, j))
+    def of(key):
+        if key not in weights:
+            weights[key] = np.zeros((count[key], count[key]), np.int32)
+        return weights[key]
 
     def middle(i, j):
         x, y = kids[i], kids[j]
         head, tail = ends(x, y)
         return head, tail, x[head : len(x) - tail], y[head : len(y) - tail]
 
-    def table(x, y):
-        """(weights of the different elements, x and y as positions in it)."""
-        dx, dy = list(dict.fromkeys(x)), list(dict.fromkeys(y))
-        w = np.array([[quick(i, j) for j in dy] for i in dx], np.int64).reshape(len(dx), len(dy))
-        px, py = {v: k for k, v in enumerate(dx)}, {v: k for k, v in enumerate(dy)}
-        return w, np.array([px[v] for v in x], np.int64), np.array([py[v] for v in y], np.int64)
-
-    todo = [(ia[0], ib[0])]
+    def unknown(i, j):
+        return i != j and keys[i] == keys[j] and kids[i] and kids[j] and not of(keys[i])[place[i], place[j]]
+
+    def wanted(i, j):
+        """The pairs of children whose weights the pair's table needs, one after the other."""
+        _, _, x, y = middle(i, j)
+        same = defaultdict(list)
+        for q in dict.fromkeys(y):
+            if kids[q]:
+                same[keys[q]].append(q)
+        for p in dict.fromkeys(x):
+            if kids[p]:
+                for q in same.get(keys[p], ()):
+                    yield p, q
+
+    def rows(x, y):
+        """dense(p, c, d) for align: the weights of x[p] with y[c:d]."""
+        at = defaultdict(list)
+        for q, j in enumerate(y):
+            at[keys[j]].append(q)
+        at = {k: np.array(v) for k, v in at.items()}
+        leaf, col, number = np.array([not kids[j] for j in y], bool), np.array([place[j] for j in y]), np.array(y)
+
+        def dense(p, c, d):
+            i, where = x[p], at.get(keys[x[p]])
+            if where is None:
+                return None
+            where = where[np.searchsorted(where, c) : np.searchsorted(where, d)]
+            if not len(where):
+                return None
+            w = np.zeros(d - c, np.int64)
+            if kids[i] and not leaf[where].all():
+                w[where - c] = np.where(leaf[where], 1, np.where(number[where] == i, nodes[i], of(keys[i])[place[i], np.where(leaf[where], 0, col[where])]))
+            else:
+                w[where - c] = 1
+            return w
+
+        return dense
+
+    todo = [(ia[0], ib[0], wanted(ia[0], ib[0]))] if unknown(ia[0], ib[0]) else []
     while todo:
-        i, j = todo[-1]
-        if quick(i, j) is not None:
-            todo.pop()
+        i, j, pairs = todo[-1]
+        below = next(((p, q) for p, q in pairs if unknown(p, q)), None)
+        if below:
+            todo.append((*below, wanted(*below)))
             continue
         head, tail, x, y = middle(i, j)
-        wanted = [(p, q) for p in set(x) for q in set(y) if quick(p, q) is None]
-        if wanted:
-            todo += wanted
-            continue
-        w, px, py = table(x, y)
-        weight[i, j] = 1 + sum(nodes[c] for c in kids[i][:head]) + sum(nodes[c] for c in kids[i][len(kids[i]) - tail :]) + int(_rows(w, px, py)[-1])
+        of(keys[i])[place[i], place[j]] = 1 + sum(nodes[c] for c in kids[i][:head]) + sum(nodes[c] for c in kids[i][len(kids[i]) - tail :]) + int(_rows(rows(x, y), range(len(x)), 0, len(y))[-1])
         todo.pop()
 
     ca, cb, out, todo = children(a), children(b), {}, [(0, 0)]
@@ -283,7 +312,7 @@ def match(a, b) -> dict[int, int]:
         todo += zip(ca[p][:head], cb[q][:head])
         todo += zip(ca[p][len(ca[p]) - tail :], cb[q][len(cb[q]) - tail :])
         if x and y:
-            todo += [(ca[p][head + k], cb[q][head + l]) for k, l in align(*table(x, y))]
+            todo += [(ca[p][head + k], cb[q][head + l]) for k, l in align(rows(x, y), len(x), len(y))]
     return out
 
 
@@ -348,17 +377,18 @@ ALIGNED = "host string, tree string, shape string, pages long, least long, most
 
 
 def _decide(batches):
-    """The content nodes of each tree, by what its host's trees say of its nodes' names."""
+    """Of each node of each tree whether it is content, by what its host's trees say of its nodes' names."""
     for b in batches:
         out = []
         for shape, names, said in zip(*(b.column(c).to_pylist() for c in ("shape", "names", "said"))):
             of = {x["name"]: x for x in said}
-            out.append(_content(json.loads(shape), names, lambda n, within: of[n]["same"] and (not within or of[n]["common"]), lambda n: of[n]["varied"], lambda n: of[n]["chars"]))
-        yield pa.RecordBatch.from_arrays([b.column("host"), b.column("tree"), pa.array(out, pa.list_(pa.int32()))], ["host", "tree", "content"])
+            content = set(_content(json.loads(shape), names, lambda n, within: of[n]["same"] and (not within or of[n]["common"]), lambda n: of[n]["varied"], lambda n: of[n]["chars"]))
+            out.append([k in content for k in range(len(names))])
+        yield pa.RecordBatch.from_arrays([b.column("host"), b.column("tree"), pa.array(out, pa.list_(pa.bool_()))], ["host", "tree", "content"])
 
 
 def wrappers(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(host, tree, content nodes) and (host, tree, pages); no host's trees are gathered, each is aligned and decided on its own."""
+    """(host, tree, content: whether each node is) and (host, tree, pages); no host's trees are gathered, each is aligned and decided on its own."""
     each = parsed.select("host", "tree", F.posexplode(F.arrays_zip("sums", "chars")).alias("k", "x"))
     sums = each.groupBy("host", "tree", "k").agg(F.min("x.sums").alias("low"), F.max("x.sums").alias("high"), F.sum(F.col("x.chars").cast("long")).alias("chars"))
     sums = sums.groupBy("host", "tree").agg(F.array_sort(F.collect_list(F.struct("k", "low", "high", "chars"))).alias("x")).select("host", "tree", F.col("x.low").alias("low"), F.col("x.high").alias("high"), F.col("x.chars").alias("chars"))
@@ -377,7 +407,7 @@ def wrappers(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     asked = aligned.select("host", "tree", F.explode("name").alias("name"))
     said = spread_join(asked, votes.drop("n"), ["host", "name"], heavy_keys(votes, ["host", "name"], asked.count()))
     said = said.groupBy("host", "tree").agg(F.collect_list(F.struct("name", "same", "common", "varied", "chars")).alias("said"))
-    rules = staged(aligned.select("host", "tree", "shape", "names").join(said, ["host", "tree"]).mapInArrow(_decide, "host string, tree string, content array<int>"), "wrappers", 250)
+    rules = staged(aligned.select("host", "tree", "shape", "names").join(said, ["host", "tree"]).mapInArrow(_decide, "host string, tree string, content array<boolean>"), "wrappers", 250)
     discard(tops, aligned, votes)
     return rules, trees.select("host", "tree", "pages")
 
@@ -386,7 +416,7 @@ def extract(pages: DataFrame, most_broadcast: int = 2_000_000) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages(page_id, url, html)."""
     parsed = staged(pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(_parse, PARSED), "pages", 1000)
     rules, trees = wrappers(parsed)
-    n = rules.agg(F.sum(F.lit(30) + F.size("content"))).first()[0] or 0  # numbers in the table: beyond most_broadcast the join is shuffled
+    n = rules.agg(F.sum(F.lit(30) + F.size("content"))).first()[0] or 0  # entries of the table: beyond most_broadcast the join is shuffled
     keys = ["host", "tree"]
     given = parsed.select("page_id", "url", "host", "tree", "at", "block")
     if n <= most_broadcast:
@@ -394,7 +424,7 @@ def extract(pages: DataFrame, most_broadcast: int = 2_000_000) -> DataFrame:
     else:
         heavy = heavy_keys(trees, keys, parsed.count(), "pages")
         picked = spread_join(given, rules, keys, heavy, F.monotonically_increasing_id(), "left")
-    chosen = F.filter("block", lambda x, i: F.array_contains("content", F.col("at")[i]))
+    chosen = F.filter("block", lambda x, i: F.col("content")[F.col("at")[i]])
     return picked.select("page_id", "url", F.coalesce(F.array_join(chosen, "\n"), F.lit("")).alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
