@@ -3,7 +3,8 @@
 All rolling word pairs of all texts are joined by hash to the pairs of the license templates; a hit's diagonal is its place in
 the text less its place in the template. Hits are counted per diagonal, neighbouring diagonals (a word missing or added) are
 merged, and a merged span is verified: the words compared as strings must cover a share of the template. The templates are a
-given list of any length, whatever the corpus, so they are broadcast; what is shuffled are hits and one row a text.
+given list, whatever the corpus: up to a checked size they are broadcast, and what is shuffled are hits and one row a text; beyond
+it the words that any template holds are met by a shuffle in which the rows of common pairs are dealt into parts.
 
 Defined results: null text has no words; no base place gives null first and last words and empty base labels; repeated rows
 each give a row; extra columns are ignored; an empty table gives no rows.
@@ -16,7 +17,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, table, words_of
+from ..operators.skew import spread_join
+from .common import WORD, staged, table, words_of
 
 #: Phrases that must stand whole (fixed values).
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -34,6 +36,31 @@ TEMPLATES = [
     ("This work is licensed under a Creative Commons Attribution 4.0 International License", "cc-by"),
     ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "mpl"),
 ]
+#: The terms of public licenses, whole (fixed values).
+TERMS = [
+    ("""Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software
+without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons
+to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial
+portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS
+FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT,
+TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""", "mit"),
+    ("""Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this
+permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE,
+DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""", "isc"),
+    ("""Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code
+must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of
+conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS
+"AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT
+SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF
+SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT
+(INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""", "bsd"),
+    ("""This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following
+restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment
+in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original
+software. 3. This notice may not be removed or altered from any source distribution.""", "zlib"),
+]
 SHARE, SLIP = 0.7, 2
 
 
@@ -41,7 +68,7 @@ def _words(text: str) -> list[str]:
     return re.findall(WORD, "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
 
 
-def template_rows(templates=TEMPLATES) -> list[tuple]:
+def template_rows(templates=TEMPLATES + TERMS) -> list[tuple]:
     """(template, label, base, pairs, at, a, b); template -1 is the row that every text meets once."""
     rows = [(-1, "", False, 1, 0, "", "")]
     for k, (text, label, base) in enumerate([(t, v, True) for t, v in BASE.items()] + [(t, v, False) for t, v in templates]):
@@ -50,17 +77,25 @@ def template_rows(templates=TEMPLATES) -> list[tuple]:
     return rows
 
 
-def scan(docs: DataFrame, share: float = SHARE, templates=TEMPLATES) -> DataFrame:
+def scan(docs: DataFrame, share: float = SHARE, templates=TEMPLATES + TERMS, most_bytes: int = 32 << 20) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every row of docs(doc_id, text).
 
-    templates: (text, label) of any length, of two words at least; they are broadcast, so all of them are to fit in memory.
+    templates: (text, label) of any length, of two words at least, a list in the driver's memory; up to most_bytes they are broadcast.
     """
     spark = docs.sparkSession
-    known = spark.createDataFrame(template_rows(templates), "template int, label string, base boolean, pairs int, at int, ta string, tb string").withColumn("hash", F.xxhash64("ta", "tb"))
+    held = template_rows(templates)
+    small = sum(len((r[5] + r[6] + r[1]).encode()) + 64 for r in held) <= most_bytes
+    known = spark.createDataFrame(held, "template int, label string, base boolean, pairs int, at int, ta string, tb string").withColumn("hash", F.xxhash64("ta", "tb"))
     w = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), words_of(F.col("text")).alias("w"))
     w = w.select("row", "doc_id", F.size("w").alias("n"), F.arrays_zip(F.concat(F.array(F.lit("")), F.col("w")).alias("a"), F.concat(F.array(F.lit("")), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), F.array(F.lit(None).cast("string"))).alias("b")).alias("p"))
     each = w.select("row", "doc_id", "n", F.posexplode("p").alias("pos", "p")).select("row", "doc_id", "n", "pos", F.col("p.a").alias("a"), F.col("p.b").alias("b"))
-    hits = each.withColumn("hash", F.xxhash64("a", "b")).join(F.broadcast(known), "hash").where("a = ta and b = tb and (template >= 0 or pos = 0)")
+    each = each.withColumn("hash", F.xxhash64("a", "b"))
+    if small:
+        met = each.join(F.broadcast(known), "hash")
+    else:  # every text's place 0 meets one row, here without a shuffle
+        each, first = staged(each, "pairs"), F.col("template") < 0
+        met = spread_join(each.where("pos > 0"), known.where(~first), ["hash"]).unionByName(each.where("pos = 0").join(F.broadcast(known.where(first)), "hash"))
+    hits = met.where("a = ta and b = tb and (template >= 0 or pos = 0)")
     diagonals = hits.groupBy("row", "doc_id", "n", "template", "label", "base", "pairs", (F.col("pos") - 1 - F.col("at")).alias("diagonal")).agg(F.count(F.lit(1)).alias("votes"), F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.collect_set("at").alias("met"))
     own = Window.partitionBy("row", "template").orderBy("diagonal")
     fresh = (F.col("diagonal") - F.lag("diagonal").over(own) > SLIP) | (F.col("lo") - F.lag("hi").over(own) > F.col("pairs")) | F.lag("diagonal").over(own).isNull()

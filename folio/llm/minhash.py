@@ -13,7 +13,7 @@ below the threshold are verified, best first, until their ends are connected. Ve
 
 Defined results: null text has no class mates and is kept; texts of fewer than five words are one shingle of all words; texts
 without words are copies of each other; a null doc_id is a document of its own; repeated rows are copies; ties go to the
-smaller doc_id; the class id is the smallest doc_id linked; extra columns are ignored.
+smaller doc_id; the class id is the smallest doc_id linked; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
