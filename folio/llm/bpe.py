@@ -33,6 +33,18 @@ ODD = r"[^\x{0}-\x{24F}]|\x{130}"
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t-\r \x{85}\x{A0}\p{L}\p{N}]+"
 
 
+class Alphabet(dict):
+    """Character to what stands for its bytes in the byte-level alphabet, asked of the library once a character."""
+
+    def __init__(self, library):
+        super().__init__()
+        self.library = library
+
+    def __missing__(self, c: str) -> str:
+        self[c] = "".join(x for x, _ in self.library.pre_tokenize_str(c))
+        return self[c]
+
+
 class Splitter:
     """The words of a text as the tokenizer's normalizer and pre-tokenizer give them, special tokens whole."""
 
@@ -40,7 +52,7 @@ class Splitter:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
-        self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.alphabet = Alphabet(pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False))
         self.special = {x["content"]: x["id"] for x in json.loads(self.tok.to_str())["added_tokens"]}
         self.cut = re.compile("|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True)) or r"(?!)")
 
@@ -59,7 +71,7 @@ class Splitter:
     def ids(self, word: str) -> list[int]:
         if word in self.special:
             return [self.special[word]]
-        return [t.id for piece, _ in self.bytes.pre_tokenize_str(word) for t in self.tok.model.tokenize(piece)]
+        return [t.id for t in self.tok.model.tokenize("".join(map(self.alphabet.__getitem__, word)))]
 
 
 @lru_cache(2)
